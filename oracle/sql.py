@@ -78,7 +78,10 @@ def judged(options: MatchOptions) -> list[str]:
     prim, sec = category(options)
     conv = {
         "wgs84": "poi_w as (select * from poi_o)",
-        "bd09": g.bd_to_wgs("poi_o", "poi_w", "lng", "lat"),
+        "bd09": ",\n".join([
+            g.gcj("poi_o", "poi_g", "lng", "lat", "+"), g.to_bd("poi_g", "poi_b", "lng", "lat"),
+            g.bd_to_wgs("poi_b", "poi_w", "lng", "lat"),
+        ]),
     }[options.crs]
     return [
         ctes("boundary_response"),
@@ -263,8 +266,8 @@ put("match_status", measured(NO_NAMES) + STATUS,
     "select poi_id, answered, accepted, called, valid, status from st")
 RESULT = ranked(NO_NAMES) + STATUS + [
     "won as (select st.*, b.uid, b.uid_name from st left join best b on b.poi_id = st.poi_id and st.status = 'Matched')",
-    f"""wkt as (select v.poi_id, v.uid, {WKT} as geometry, cast(count(*) as integer) as points from verts v
-  join won w on w.poi_id = v.poi_id and w.uid = v.uid group by v.poi_id, v.uid)""",
+    f"""wkt as (select poi_id, uid, {WKT} as geometry, cast(count(*) as integer) as points
+  from verts semi join won using (poi_id, uid) group by poi_id, uid)""",
 ]
 put("match_result", RESULT,
     """select w.poi_id, w.status, w.uid_name, k.geometry from won w

@@ -1,8 +1,9 @@
 """Coordinate systems as column expressions.
 
-A *step* maps an (x, y) pair of columns to another pair. A conversion is a list of steps.
-``convert`` applies them one ``withColumns`` at a time, so that each intermediate value is
-computed once per row; ``as_function`` folds them into a plain two-column function.
+A *step* maps the names of an (x, y) pair of columns to the SQL texts of another pair. A
+conversion is a list of steps, applied one ``withColumns`` at a time, so that each
+intermediate value is computed once per row. Texts rather than ``Column`` arithmetic: a step
+then costs one call into the JVM instead of hundreds.
 
 Inside a conversion a missing value is NaN, never null, and no step divides (in Spark a
 quotient is always nullable): generated code for non-null doubles is a fraction of the size,
@@ -17,8 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Pair = tuple[Column, Column]
-Step = Callable[[Column, Column], Pair]
+Pair = tuple[str, str]
+Step = Callable[[str, str], Pair]
 
 # --- fixed values of the published systems -------------------------------------------------
 KRASOVSKY_A = 6378245.0
@@ -71,90 +72,95 @@ HAVERSINE_RADIUS_KM = 6378.137
 # --------------------------------------------------------------------------------------------
 
 
-def outside_china(lng: Column, lat: Column) -> Column:
+def num(value: float) -> str:
+    """A double literal in SQL text."""
+    return f"({float(value)!r}D)"
+
+
+NAN = "double('NaN')"
+
+
+def outside_china(lng: str, lat: str) -> str:
     """True where the gcj02 offset does not apply."""
-    west, east, south, north = GCJ_BOX
-    return (lng < west) | (lng > east) | (lat < south) | (lat > north)
+    west, east, south, north = (num(v) for v in GCJ_BOX)
+    return f"({lng} < {west} or {lng} > {east} or {lat} < {south} or {lat} > {north})"
 
 
-def _series(poly: Sequence[float], waves, x: Column, y: Column) -> Column:
-    powers = (None, x, y, x * x, y * y, x * y, F.sqrt(F.abs(x)))
-    total = F.lit(poly[0])
-    for factor, power in zip(poly[1:], powers[1:]):
-        if factor:
-            total = total + power * F.lit(factor)
+def _series(poly: Sequence[float], waves, x: str, y: str) -> str:
+    powers = ("1D", x, y, f"{x} * {x}", f"{y} * {y}", f"{x} * {y}", f"sqrt(abs({x}))")
+    terms = [f"{num(c)} * {p}" for c, p in zip(poly, powers) if c]
     for amplitude, axis, turns in waves:
-        angle = (x if axis == "x" else y) * F.lit(turns * math.pi)
-        total = total + F.sin(angle) * F.lit(amplitude * 2 / 3)
-    return total
+        angle = f"{x if axis == 'x' else y} * {num(turns * math.pi)}"
+        terms.append(f"{num(amplitude * 2 / 3)} * sin({angle})")
+    return "(" + " + ".join(terms) + ")"
 
 
-def gcj_lat_series(x: Column, y: Column) -> Column:
+def gcj_lat_series(x: str, y: str) -> str:
     """Latitude offset in metres; x, y are degrees from the series origin."""
     return _series(GCJ_LAT_POLY, GCJ_LAT_WAVES, x, y)
 
 
-def gcj_lng_series(x: Column, y: Column) -> Column:
+def gcj_lng_series(x: str, y: str) -> str:
     """Longitude offset in metres; x, y are degrees from the series origin."""
     return _series(GCJ_LNG_POLY, GCJ_LNG_WAVES, x, y)
 
 
 def _gcj_shift(sign: int) -> Step:
-    def step(lng: Column, lat: Column) -> Pair:
-        x, y = lng - F.lit(GCJ_ORIGIN[0]), lat - F.lit(GCJ_ORIGIN[1])
-        phi = F.radians(lat)
-        w = F.lit(1.0) - F.sin(phi) * F.sin(phi) * F.lit(KRASOVSKY_E2)
-        per_metre = F.lit(180.0 / (KRASOVSKY_A * math.pi))
-        d_lat = gcj_lat_series(x, y) * per_metre * w * F.sqrt(w) * F.lit(1 / (1 - KRASOVSKY_E2))
-        d_lng = gcj_lng_series(x, y) * per_metre * F.sqrt(w) * F.sec(phi)
+    def step(lng: str, lat: str) -> Pair:
+        x, y = f"({lng} - {num(GCJ_ORIGIN[0])})", f"({lat} - {num(GCJ_ORIGIN[1])})"
+        w = f"(1D - {num(KRASOVSKY_E2)} * sin(radians({lat})) * sin(radians({lat})))"
+        east = num(sign * 180.0 / (KRASOVSKY_A * math.pi))
+        north = num(sign * 180.0 / (KRASOVSKY_A * math.pi * (1 - KRASOVSKY_E2)))
+        d_lng = f"{east} * {gcj_lng_series(x, y)} * sqrt({w}) * sec(radians({lat}))"
+        d_lat = f"{north} * {gcj_lat_series(x, y)} * {w} * sqrt({w})"
         away = outside_china(lng, lat)
         return (
-            F.when(away, lng).otherwise(lng + d_lng * F.lit(float(sign))),
-            F.when(away, lat).otherwise(lat + d_lat * F.lit(float(sign))),
+            f"case when {away} then {lng} else {lng} + {d_lng} end",
+            f"case when {away} then {lat} else {lat} + {d_lat} end",
         )
 
     return step
 
 
-def _to_polar_bd(lng: Column, lat: Column) -> Pair:
+def _to_polar_bd(lng: str, lat: str) -> Pair:
+    k = num(BD_ANGLE)
     return (
-        F.sqrt(lng * lng + lat * lat) + F.sin(lat * F.lit(BD_ANGLE)) * F.lit(BD_RADIAL),
-        F.atan2(lat, lng) + F.cos(lng * F.lit(BD_ANGLE)) * F.lit(BD_ANGULAR),
+        f"sqrt({lng} * {lng} + {lat} * {lat}) + {num(BD_RADIAL)} * sin({lat} * {k})",
+        f"atan2({lat}, {lng}) + {num(BD_ANGULAR)} * cos({lng} * {k})",
     )
 
 
-def _from_polar_bd(r: Column, theta: Column) -> Pair:
-    return r * F.cos(theta) + F.lit(BD_SHIFT[0]), r * F.sin(theta) + F.lit(BD_SHIFT[1])
+def _from_polar_bd(r: str, theta: str) -> Pair:
+    return f"{r} * cos({theta}) + {num(BD_SHIFT[0])}", f"{r} * sin({theta}) + {num(BD_SHIFT[1])}"
 
 
-def _unshift_bd(lng: Column, lat: Column) -> Pair:
-    return lng - F.lit(BD_SHIFT[0]), lat - F.lit(BD_SHIFT[1])
+def _unshift_bd(lng: str, lat: str) -> Pair:
+    return f"{lng} - {num(BD_SHIFT[0])}", f"{lat} - {num(BD_SHIFT[1])}"
 
 
-def _to_polar_gcj(x: Column, y: Column) -> Pair:
+def _to_polar_gcj(x: str, y: str) -> Pair:
+    k = num(BD_ANGLE)
     return (
-        F.sqrt(x * x + y * y) - F.sin(y * F.lit(BD_ANGLE)) * F.lit(BD_RADIAL),
-        F.atan2(y, x) - F.cos(x * F.lit(BD_ANGLE)) * F.lit(BD_ANGULAR),
+        f"sqrt({x} * {x} + {y} * {y}) - {num(BD_RADIAL)} * sin({y} * {k})",
+        f"atan2({y}, {x}) - {num(BD_ANGULAR)} * cos({x} * {k})",
     )
 
 
-def _from_polar(r: Column, theta: Column) -> Pair:
-    return r * F.cos(theta), r * F.sin(theta)
+def _from_polar(r: str, theta: str) -> Pair:
+    return f"{r} * cos({theta})", f"{r} * sin({theta})"
 
 
-def _mercator_to_bd(x: Column, y: Column) -> Pair:
+def _mercator_to_bd(x: str, y: str) -> Pair:
     """Band picked by y; y at or below the last bound (and NaN) gives NaN."""
-    lng = lat = F.when(F.isnan(y), F.lit(math.nan))
+    lng = lat = f"case when isnan({y}) then {NAN}"
     for low, intercept, slope, *poly, scale in BD_MERCATOR:
-        c = y * F.lit(1 / scale)
-        value = F.lit(poly[-1])
+        c = f"({y} * {num(1 / scale)})"
+        value = num(poly[-1])
         for coefficient in reversed(poly[:-1]):
-            value = value * c + F.lit(coefficient)
-        in_band = y > F.lit(low)
-        line = x * F.lit(slope) + F.lit(intercept)
-        lng = lng.when(in_band, line)
-        lat = lat.when(in_band, value)
-    return lng.otherwise(F.lit(math.nan)), lat.otherwise(F.lit(math.nan))
+            value = f"({value} * {c} + {num(coefficient)})"
+        lng += f" when {y} > {num(low)} then {x} * {num(slope)} + {num(intercept)}"
+        lat += f" when {y} > {num(low)} then {value}"
+    return f"{lng} else {NAN} end", f"{lat} else {NAN} end"
 
 
 GCJ02_TO_WGS84: list[Step] = [_gcj_shift(-1)]
@@ -184,28 +190,15 @@ def or_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def as_function(source: str, target: str) -> Step:
-    """The conversion as a single (lng, lat) -> (lng, lat) column function."""
-
-    def apply(lng: Column, lat: Column) -> Pair:
-        lng, lat = or_nan(lng), or_nan(lat)
-        for step in CONVERSIONS[source, target]:
-            lng, lat = step(lng, lat)
-        return or_null(lng), or_null(lat)
-
-    return apply
-
-
 def run_steps(
     df: DataFrame, steps: Sequence[Step], points: Sequence[tuple[tuple[str, str], tuple[str, str]]]
 ) -> DataFrame:
     """Apply ``steps`` to several ((in_x, in_y), (out_x, out_y)) pairs side by side (NaN = missing)."""
     df = df.withColumns({o: or_nan(F.col(i)) for ins, outs in points for i, o in zip(ins, outs)})
     for step in steps:
-        staged = {}
-        for _, (x, y) in points:
-            staged[x], staged[y] = step(F.col(x), F.col(y))
-        df = df.withColumns(staged)
+        df = df.withColumns({
+            name: F.expr(sql) for _, pair in points for name, sql in zip(pair, step(*pair))
+        })
     return df
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placehull.functions.coords import stage_cut
+from placehull.functions.coords import num, stage_cut
 
 # --- fixed values: WGS-84 ellipsoid and UTM grid ---
 WGS84_A = 6378137.0
@@ -51,60 +51,62 @@ def to_utm(
     Missing coordinates are NaN in and out, as in the other conversions. ``cut`` divides the
     generated code in the middle, for use on rows as numerous as vertices.
     """
-    keep = df.columns + [c for _, outs in points for c in outs if c not in df.columns]
+    kept = [c for c in df.columns if c not in {c for _, outs in points for c in outs}]
 
     def stage(df: DataFrame, build) -> DataFrame:
-        cols: dict[str, Column] = {}
-        for i, (ins, outs) in enumerate(points):
-            cols.update(build(ins, outs, lambda name, i=i: f"__utm{i}_{name}"))
-        return df.withColumns(cols)
+        return df.withColumns({
+            name: F.expr(sql)
+            for i, (ins, outs) in enumerate(points)
+            for name, sql in build(ins, outs, f"__utm{i}_").items()
+        })
 
     def conformal(ins, outs, t):
-        lng, lat = (F.col(c) for c in ins)
-        s = F.sin(F.radians(lat))
-        psi = F.atanh(s) - F.atanh(s * F.lit(ECCENTRICITY)) * F.lit(ECCENTRICITY)
-        return {t("lam"): F.radians(lng - F.lit(central_meridian(zone))), t("t"): F.sinh(psi)}
+        lng, lat = ins
+        s, e = f"sin(radians({lat}))", num(ECCENTRICITY)
+        return {
+            f"{t}lam": f"radians({lng} - {num(central_meridian(zone))})",
+            f"{t}t": f"sinh(atanh({s}) - {e} * atanh({e} * {s}))",
+        }
 
     def spherical(ins, outs, t):
-        lam, tan = F.col(t("lam")), F.col(t("t"))
         return {
-            t("xi"): F.atan2(tan, F.cos(lam)),
-            t("eta"): F.atanh(F.sin(lam) * F.cos(F.atan(tan))),
+            f"{t}xi": f"atan2({t}t, cos({t}lam))",
+            f"{t}eta": f"atanh(sin({t}lam) * cos(atan({t}t)))",
         }
 
     def first_multiple(ins, outs, t):
-        xi2, eta2 = F.col(t("xi")) * F.lit(2.0), F.col(t("eta")) * F.lit(2.0)
         return {
-            t("s1"): F.sin(xi2), t("c1"): F.cos(xi2),
-            t("h1"): F.sinh(eta2), t("g1"): F.cosh(eta2),
+            f"{t}s1": f"sin(2D * {t}xi)", f"{t}c1": f"cos(2D * {t}xi)",
+            f"{t}h1": f"sinh(2D * {t}eta)", f"{t}g1": f"cosh(2D * {t}eta)",
         }
 
-    def multiple(k, a, b):
+    def multiples(*sums):
         def build(ins, outs, t):
-            v = {n: F.col(t(n)) for p in (a, b) for n in (f"s{p}", f"c{p}", f"h{p}", f"g{p}")}
-            return {
-                t(f"s{k}"): v[f"s{a}"] * v[f"c{b}"] + v[f"c{a}"] * v[f"s{b}"],
-                t(f"c{k}"): v[f"c{a}"] * v[f"c{b}"] - v[f"s{a}"] * v[f"s{b}"],
-                t(f"h{k}"): v[f"h{a}"] * v[f"g{b}"] + v[f"g{a}"] * v[f"h{b}"],
-                t(f"g{k}"): v[f"g{a}"] * v[f"g{b}"] + v[f"h{a}"] * v[f"h{b}"],
-            }
+            out = {}
+            for k, a, b in sums:
+                out[f"{t}s{k}"] = f"{t}s{a} * {t}c{b} + {t}c{a} * {t}s{b}"
+                out[f"{t}c{k}"] = f"{t}c{a} * {t}c{b} - {t}s{a} * {t}s{b}"
+                out[f"{t}h{k}"] = f"{t}h{a} * {t}g{b} + {t}g{a} * {t}h{b}"
+                out[f"{t}g{k}"] = f"{t}g{a} * {t}g{b} + {t}h{a} * {t}h{b}"
+            return out
 
         return build
 
     def grid(ins, outs, t):
-        north, east = F.col(t("xi")), F.col(t("eta"))
-        for j, alpha in enumerate(ALPHA, start=1):
-            north = north + F.col(t(f"s{j}")) * F.col(t(f"g{j}")) * F.lit(alpha)
-            east = east + F.col(t(f"c{j}")) * F.col(t(f"h{j}")) * F.lit(alpha)
-        k = F.lit(UTM_SCALE * RECTIFYING_RADIUS)
-        return {outs[0]: east * k + F.lit(FALSE_EASTING), outs[1]: north * k}
+        series = list(enumerate(ALPHA, start=1))
+        east = " + ".join(f"{num(a)} * {t}c{j} * {t}h{j}" for j, a in series)
+        north = " + ".join(f"{num(a)} * {t}s{j} * {t}g{j}" for j, a in series)
+        k = num(UTM_SCALE * RECTIFYING_RADIUS)
+        return {
+            outs[0]: f"{num(FALSE_EASTING)} + {k} * ({t}eta + {east})",
+            outs[1]: f"{k} * ({t}xi + {north})",
+        }
 
     df = stage(stage(df, conformal), spherical)
     if cut:
         angles = [f"__utm{i}_{a}" for i in range(len(points)) for a in ("xi", "eta")]
-        df = stage_cut(df.select(*[c for c in keep if c in df.columns], *angles), angles)
-    builders = [first_multiple, multiple(2, 1, 1), multiple(3, 2, 1), multiple(4, 2, 2)]
-    builders += [multiple(5, 4, 1), multiple(6, 3, 3), grid]
-    for build in builders:
+        df = stage_cut(df.select(*kept, *angles), angles)
+    for build in (first_multiple, multiples((2, 1, 1)), multiples((3, 2, 1), (4, 2, 2)),
+                  multiples((5, 4, 1), (6, 3, 3)), grid):
         df = stage(df, build)
-    return df.select(*keep)
+    return df.select(*kept, *[c for _, outs in points for c in outs])

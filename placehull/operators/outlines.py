@@ -9,7 +9,7 @@ from placehull.functions.coords import (
     BD09_TO_GCJ02,
     BD09MC_TO_BD09,
     GCJ02_TO_WGS84,
-    or_nan,
+    NAN,
     run_steps,
     stage_cut,
 )
@@ -40,11 +40,10 @@ def edge_rows(df: DataFrame, keys: list[str], numbers: str = "numbers") -> DataF
     index = F.when(F.col(numbers).isNotNull(), F.sequence(F.lit(0), last))
     rows = df.select(*keys, numbers, F.explode_outer(index).alias("i"))
 
-    def at(offset: int):
-        return F.get(numbers, F.col("i") * 2 + offset)
-
-    ends = {"x1": at(0), "y1": at(1), "x2": at(2), "y2": at(3)}
-    return rows.select(*keys, *[or_nan(v).alias(k) for k, v in ends.items()])
+    ends = {"x1": 0, "y1": 1, "x2": 2, "y2": 3}
+    return rows.selectExpr(
+        *keys, *[f"coalesce(get({numbers}, i * 2 + {k}), {NAN}) as {c}" for c, k in ends.items()]
+    )
 
 
 def project_edges(edges: DataFrame, zone: int) -> DataFrame:
@@ -71,37 +70,35 @@ def measure_rings(
     """
     packed = df.select(key, F.struct(*carry, *origin).alias("carry"), "numbers")
     edges = project_edges(edge_rows(packed, [key, "carry"]), zone)
-    ox, oy = (or_nan(F.col(f"carry.{c}")) for c in origin)
-    edges = edges.withColumns({
-        "ax": F.col("e1") - ox, "ay": F.col("n1") - oy,
-        "bx": F.col("e2") - ox, "by": F.col("n2") - oy,
-    })
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
-    dx, dy = bx - ax, by - ay
-    # parameter of the foot of the perpendicular from the origin, clamped to the edge
-    foot = -F.try_divide(ax * dx + ay * dy, dx * dx + dy * dy)
-    edges = edges.withColumn(
-        "t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(foot, F.lit(0.0))))
-    )
-    px, py = ax + F.col("t") * dx, ay + F.col("t") * dy
-    crosses = ((ay > 0) != (by > 0)) & (ax - F.try_divide(ay * dx, dy) > 0)
-    edges = edges.select(
+    ox, oy = (f"coalesce(carry.{c}, {NAN})" for c in origin)
+    edges = edges.selectExpr(
+        key, "carry", "lng1", "lat1",
+        f"e1 - {ox} as ax", f"n1 - {oy} as ay", f"e2 - {ox} as bx", f"n2 - {oy} as by",
+    ).selectExpr("*", "bx - ax as dx", "by - ay as dy")
+    # t: foot of the perpendicular from the origin, clamped to the edge (0 on a null edge)
+    edges = edges.selectExpr(
+        "*",
+        "greatest(0D, least(1D, coalesce(-try_divide(ax * dx + ay * dy, dx * dx + dy * dy), 0D))) as t",
+    ).selectExpr("*", "ax + t * dx as px", "ay + t * dy as py")
+    edges = edges.selectExpr(
         key, "carry", "lng1", "lat1",
-        (px * px + py * py).alias("gap2"),
-        F.when(crosses, 1).otherwise(0).alias("crosses"),
-        (ax * by - bx * ay).alias("cross2"),
+        "px * px + py * py as gap2",
+        "case when (ay > 0D) != (by > 0D) and ax - try_divide(ay * dx, dy) > 0D then 1 else 0 end as crosses",
+        "ax * by - bx * ay as cross2",
     )
-    found = F.count_if(F.isnan("cross2")) == 0  # no ring, or a vertex off every Mercator band
-    inside = F.sum("crosses") % 2 == 1
+    # no value where there is no ring or a vertex lies off every Mercator band
+    whole = "count_if(isnan(cross2)) = 0"
+    values = {
+        "edges": "count(*)",
+        "min_lng": "min(lng1)", "max_lng": "max(lng1)",
+        "min_lat": "min(lat1)", "max_lat": "max(lat1)",
+        "area_km2": "abs(sum(cross2)) / 2e6",
+        "distance_m": "case when sum(crosses) % 2 = 1 then 0D else sqrt(min(gap2)) end",
+    }
     sums = edges.groupBy(key, "carry").agg(
-        F.when(found, F.count("*")).alias("edges"),
-        F.when(found, F.min("lng1")).alias("min_lng"), F.when(found, F.max("lng1")).alias("max_lng"),
-        F.when(found, F.min("lat1")).alias("min_lat"), F.when(found, F.max("lat1")).alias("max_lat"),
-        F.when(found, F.abs(F.sum("cross2")) / 2e6).alias("area_km2"),
-        F.when(found, F.when(inside, 0.0).otherwise(F.sqrt(F.min("gap2")))).alias("distance_m"),
+        *[F.expr(f"case when {whole} then {sql} end").alias(n) for n, sql in values.items()]
     )
-    metrics = ("edges", "min_lng", "max_lng", "min_lat", "max_lat", "area_km2", "distance_m")
-    return sums.select(key, *[F.col(f"carry.{c}").alias(c) for c in carry], *metrics)
+    return sums.selectExpr(key, *[f"carry.{c} as {c}" for c in carry], *values)
 
 
 CARRIED = ["search_rank", "uid_name", "p_name", "p_lng", "p_lat", "called", "multi_part"]

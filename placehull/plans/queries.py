@@ -63,8 +63,12 @@ def poi_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_job(spark: SparkSession, sf: str, options: MatchOptions = NO_NAMES) -> MatchJob:
+    """The job over the derived views, whose wgs84 points are first put into the input system."""
+    poi = poi_table(spark, sf)
+    if options.crs != "wgs84":
+        poi = coords.convert(poi, "wgs84", options.crs)
     return MatchJob(
-        poi_table(spark, sf),
+        poi,
         view(spark, sf, "search_response"),
         view(spark, sf, "boundary_response"),
         options,
@@ -127,7 +131,7 @@ def outside_china(spark, sf):
         (F.col("lng") + F.col("poi_id") % 60 - 45).alias("lng"),
         (F.col("lat") + F.col("poi_id") % 70 - 45).alias("lat"),
     )
-    return wide.select("poi_id", coords.outside_china(F.col("lng"), F.col("lat")).alias("outside"))
+    return wide.select("poi_id", F.expr(coords.outside_china("lng", "lat")).alias("outside"))
 
 
 @query

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placehull.functions.coords import Step, convert
+from placehull.functions.coords import convert
 from placehull.functions.rings import wkt_to_ring
 from placehull.options import VAR, MatchOptions
 
+PointTransform = Callable[[Column, Column], tuple[Column, Column]]
 POI_FIELDS = {
     "poi_id": "bigint", "name": "string", "lng": "double", "lat": "double",
     "prim_ind": "string", "sec_ind": "string", "status": "string", "uid_name": "string",
@@ -59,7 +62,7 @@ def add_result_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
-def unify_crs(df: DataFrame, crs: str, transform: Step | None = None) -> DataFrame:
+def unify_crs(df: DataFrame, crs: str, transform: PointTransform | None = None) -> DataFrame:
     """Fill ``lng_wgs84``/``lat_wgs84`` from ``lng``/``lat``, or by a caller's own transform."""
     out = ("lng_wgs84", "lat_wgs84")
     if transform is None:
