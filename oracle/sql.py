@@ -349,3 +349,11 @@ union all
 select a.poi_id, a.uid, 'boundary', 'no ring part' from accepted a
 join boundary_response b on b.poi_id = a.poi_id and b.uid = a.uid
 where b.body->>'$.content.geo' is not null and split_part(b.body->>'$.content.geo', '|', 3) = ''""")
+
+# --- streaming: the same result as the batch job, for complete POIs with candidates ---
+put("stream_completion", ranked(NO_NAMES) + STATUS,
+    """select st.poi_id, st.status, b.uid, b.uid_name, b.search_rank, round(b.score, 6) as score
+from st left join best b on b.poi_id = st.poi_id where st.status in ('Matched', 'No Geometry')""")
+put("stream_throughput", [ctes("fetch_log")],
+    """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, count(*) as n
+from fetch_log group by 1""")

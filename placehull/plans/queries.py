@@ -528,3 +528,42 @@ def csv_roundtrip(spark, sf):
         "poi_id", "name", rounded("lng"), rounded("lat"), "status", "uid_name",
         F.size("geometry").alias("points"),
     )
+
+
+# --- streaming ------------------------------------------------------------------------------
+
+
+@query
+def stream_completion(spark, sf):
+    """All boundary responses through the two streaming queries, in several micro-batches."""
+    from placehull.streaming import completion as stream
+
+    folder = scratch_path(spark, "stream_completion")
+    source = f"{folder}/responses"
+    responses = view(spark, sf, "boundary_response").select("poi_id", "uid", "body")
+    responses.repartition(4, F.rand(7)).write.parquet(source)
+    accepted = accept(_judged(spark, sf, NO_NAMES), NO_NAMES)
+    arriving = stream.read_responses(spark, source, files_per_trigger=2)
+    stream.measure(arriving, accepted, NO_NAMES, folder).awaitTermination()
+    stream.finish(spark, NO_NAMES, folder).awaitTermination()
+    return stream.read_results(spark, folder).select(
+        "poi_id", "status", "uid", "uid_name", "search_rank", rounded("score")
+    )
+
+
+@query
+def stream_throughput(spark, sf):
+    """Fetch log as a stream, counted per hour; the window start is given as text."""
+    from placehull.streaming import throughput as stream
+
+    folder = scratch_path(spark, "stream_throughput")
+    source = f"{folder}/log"
+    view(spark, sf, "fetch_log").select("event_id", "ts").repartitionByRange(4, "ts").write.parquet(source)
+    events = (
+        spark.readStream.schema(spark.read.parquet(source).schema)
+        .option("maxFilesPerTrigger", 2).parquet(source)
+    )
+    counts = stream.window_counts(events, late="30 days")
+    stream.start(counts, folder).awaitTermination()
+    rows = stream.latest(spark.read.parquet(f"{folder}/windows"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
