@@ -87,7 +87,7 @@ def judged(options: MatchOptions) -> list[str]:
         ctes("boundary_response"),
         "poi_o as (select * from poi where prior_status is null)",
         conv,
-        f"""r0 as (select r.poi_id, r.uid, r.uid_name, r.search_rank, r.tag,
+        f"""r0 as (select r.poi_id, r.uid, r.uid_name, cast(r.search_rank as integer) as search_rank, r.tag,
   cast(u_lng as double) as ulng, cast(u_lat as double) as ulat, p.name as p_name, p.lng as p_lng, p.lat as p_lat,
   {prim} as prim, {sec} as sec
  from search_result r join poi_w p on p.poi_id = r.poi_id where r.poi_id % 50 <> 0)""",
@@ -109,7 +109,7 @@ def accepted(options: MatchOptions) -> list[str]:
 
 
 put("flatten_search_results", [ctes("search_result")],
-    """select poi_id, uid, uid_name, search_rank, round(cast(u_lng as double), 6) as u_lng,
+    """select poi_id, uid, uid_name, cast(search_rank as integer) as search_rank, round(cast(u_lng as double), 6) as u_lng,
   round(cast(u_lat as double), 6) as u_lat, tag as u_tag from search_result where poi_id % 50 <> 0""")
 put("candidate_filter", accepted(BY_ROW),
     "select poi_id, uid, uid_name, search_rank, round(distance_km, 6) as distance_km from accepted")
