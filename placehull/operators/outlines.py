@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placehull.functions.coords import (
+    BD_MERCATOR,
     BD09_TO_GCJ02,
     BD09MC_TO_BD09,
     GCJ02_TO_WGS84,
     NAN,
+    num,
     run_steps,
     stage_cut,
 )
@@ -101,12 +103,60 @@ def measure_rings(
     return sums.selectExpr(key, *[f"carry.{c} as {c}" for c in carry], *values)
 
 
+# --- bound used by drop_far_rings, see there ---
+BEND = 0.05  # per degree of box width plus height; the offsets bend by less than 0.035
+SLACK = 2e-5  # degrees
+SMOOTH_BOX = (72.2, 137.6, 1.0, 55.6)  # bd09 degrees well inside the gcj02 box
+
+
+def drop_far_rings(df: DataFrame, numbers: str = "numbers") -> DataFrame:
+    """Remove rings whose box cannot hold the POI before their vertices are converted.
+
+    Mercator to bd09 is monotone in each axis within a band, so the ring's Mercator box is a
+    bd09 box. From there to wgs84 each point moves by an offset that changes by less than 0.035
+    of the distance between two points inside the gcj02 box. So the wgs84 box lies within the
+    bd09 box carried along with one corner, widened by a twentieth of its size. A POI outside
+    that cannot be in the exact box. Rings across two bands or near the edge of the gcj02 box
+    are all kept.
+    """
+    columns = df.columns
+    df = df.withColumns({
+        f"__{end}{axis}": F.expr(f"array_{end}(filter({numbers}, (v, i) -> i % 2 = {k}))")
+        for k, axis in enumerate("xy") for end in ("min", "max")
+    })
+    bands = " + ".join(f"case when {{y}} > {num(low)} then 1 else 0 end" for low, *_ in BD_MERCATOR)
+    one_band = f"({bands.format(y='__miny')}) = ({bands.format(y='__maxy')}) and __miny > 0D"
+    df = df.withColumn("__one_band", F.expr(one_band))
+    df = run_steps(df, BD09MC_TO_BD09, [
+        (("__minx", "__miny"), ("__lng0", "__lat0")), (("__maxx", "__maxy"), ("__lng1", "__lat1")),
+    ])
+    corner = [(("__lng0", "__lat0"), ("__wlng", "__wlat"))]
+    df = run_steps(df, BD09_TO_GCJ02 + GCJ02_TO_WGS84, corner)
+    west, east, south, north = (num(v) for v in SMOOTH_BOX)
+    smooth = (
+        f"__one_band and __lng0 > {west} and __lng1 < {east} and __lat0 > {south} and __lat1 < {north}"
+    )
+    room = f"({num(BEND)} * (__lng1 - __lng0 + __lat1 - __lat0) + {num(SLACK)})"
+    near = (
+        f"p_lng between __wlng - {room} and __wlng + __lng1 - __lng0 + {room}"
+        f" and p_lat between __wlat - {room} and __wlat + __lat1 - __lat0 + {room}"
+    )
+    keep = f"case when ({smooth}) and not ({near}) then null else {numbers} end"
+    return df.withColumn(numbers, F.expr(keep)).select(*columns)
+
+
 CARRIED = ["search_rank", "uid_name", "p_name", "p_lng", "p_lat", "called", "multi_part"]
 
 
-def aoi_metrics(attached: DataFrame, options: MatchOptions) -> DataFrame:
-    """One row per accepted candidate with its metrics; nulls where there is no usable ring."""
+def aoi_metrics(attached: DataFrame, options: MatchOptions, prune: bool = True) -> DataFrame:
+    """One row per accepted candidate with its metrics; nulls where there is no usable ring.
+
+    With ``prune`` rings that cannot hold the POI in their box get nulls as well: they are never
+    valid, and most candidates of a search are of that kind.
+    """
     rows = with_ring_numbers(attached).drop("geo")
+    if prune:
+        rows = drop_far_rings(rows)
     rows = to_utm(rows, [(("p_lng", "p_lat"), ("p_e", "p_n"))], options.utm_zone)
     sums = measure_rings(rows, "aoi_key", CARRIED, ("p_e", "p_n"), options.utm_zone)
     return sums.withColumns({

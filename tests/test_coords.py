@@ -21,19 +21,17 @@ def test_documented_point(spark):
     assert abs(lat - 39.991595084258336) < 1e-12
 
 
-CAMPUS = (116.30420708125263, 116.30420708125263, 39.991595084258336, 39.991595084258336)
 COUNTRY = (75.0, 130.0, 5.0, 50.0)
 
 
+# The inverse is the documented single step 2x - f(x): it errs by the product of the offset
+# (0.01 degrees at most) and its slope (0.01 at most).
 @pytest.mark.parametrize(
     "a, b, box, tolerance",
     [
-        ("gcj02", "bd09", CAMPUS, 1e-6),
-        ("wgs84", "gcj02", CAMPUS, 1e-5),
-        ("wgs84", "bd09", CAMPUS, 1e-5),
-        # the one-step inverse errs by the product of the offset and its slope
         ("gcj02", "bd09", COUNTRY, 2e-6),
         ("wgs84", "gcj02", COUNTRY, 1e-4),
+        ("wgs84", "bd09", COUNTRY, 1e-4),
     ],
 )
 def test_round_trips(spark, a, b, box, tolerance):
