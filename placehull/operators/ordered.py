@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a group of up to this many narrow rows may be sorted by one task
 MAX_HOT_GROUPS = 10_000  # bound on the hot list, and so on everything broadcast below
-FAN_OUT = 32  # split points are searched in two levels of this width
-MAX_SPLITS = FAN_OUT * FAN_OUT
+MAX_SPLITS = 1024
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -40,29 +39,35 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
 
 
 def _split_points(hot_df: DataFrame, keys: Sequence[str], order: Column, hot_rows: int) -> DataFrame:
-    """Per hot group a sorted array of order structs, picked by hash (the same on every run)."""
+    """Per hot group sorted order structs, picked by hash (the same ones on every run)."""
     wanted = F.least(
         F.lit(MAX_SPLITS - 1), F.ceil(F.col("group_rows") / F.lit(hot_rows)) * 4
     )
     # a hash of the order columns in 0..group_rows-1 falls below ``wanted`` that many times
     picked = hot_df.where(F.pmod(F.xxhash64(order), F.col("group_rows")) < wanted)
-    return picked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("splits"))
+    points = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("splits"))
+    return _lookup(points, *keys)
 
 
-def _bucket(order: Column) -> Column:
-    """Number of split points not above the row, found in two levels.
+def _lookup(points: DataFrame, *keep: str) -> DataFrame:
+    """Replace ``splits`` by a struct with every step-th split apart, for a two-level search."""
+    points = points.withColumn("step", F.ceil(F.sqrt(F.greatest(F.size("splits"), F.lit(1)))).cast("int"))
+    coarse = F.filter("splits", lambda s, i: i % F.col("step") == F.col("step") - 1)
+    return points.select(*keep, F.struct("splits", "step", coarse.alias("coarse")).alias("lookup"))
 
-    Every step-th split is tried first, then the ones between, so a row is compared with
-    about 2 * sqrt(splits) of them.
+
+def _with_bucket(rows: DataFrame) -> DataFrame:
+    """Add ``__bucket``: how many split points are not above the row's ``__place``.
+
+    The row is compared with the coarse points, then with the ones between two of them: about
+    2 * sqrt(splits) comparisons. Without a lookup everything is bucket 0.
     """
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("splits"))).cast("int"))
-    coarse = F.size(
-        F.filter("splits", lambda s, i: (i % step == step - 1) & (s <= order))
-    )
-    rest = F.slice("splits", coarse * step + 1, step)
-    return F.when(F.col("splits").isNull(), 0).otherwise(
-        coarse * step + F.size(F.filter(rest, lambda s: s <= order))
-    )
+    rows = rows.withColumn("__c", F.size(F.filter("lookup.coarse", lambda s: s <= F.col("__place"))))
+    step = F.col("lookup.step")
+    rest = F.slice("lookup.splits", F.col("__c") * step + 1, step)
+    fine = F.size(F.filter(rest, lambda s: s <= F.col("__place")))
+    bucket = F.when(F.col("lookup").isNull(), 0).otherwise(F.col("__c") * step + fine)
+    return rows.withColumn("__bucket", bucket).drop("lookup", "__c")
 
 
 def running_in_hot_groups(
@@ -80,7 +85,7 @@ def running_in_hot_groups(
     rows = hot_df.join(F.broadcast(splits), list(keys), "left").withColumns(
         {"__place": place, **values}
     )
-    rows = rows.withColumn("__bucket", _bucket(F.col("__place"))).drop("splits")
+    rows = _with_bucket(rows)
 
     totals = rows.groupBy(*keys, "__bucket").agg(
         *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums]
@@ -135,27 +140,20 @@ def running_totals(
 ) -> DataFrame:
     """Running sums over all rows in one global order, without one task seeing all rows.
 
-    The split points (about ``parts``) and the bucket totals (one more) are the only rows that
-    reach the driver.
+    About ``parts`` split points travel as a scalar subquery; the bucket totals, one more, are
+    the only rows that reach the driver.
     """
     spark = df.sparkSession
     parts = max(1, min(parts, MAX_SPLITS // 4))
     total = df.count()
     place = F.struct(*order)
+    # a hash of the order columns in 0..total-1 falls below ``parts`` that many times
     picked = df.where(F.pmod(F.xxhash64(place), F.lit(max(total, 1))) < parts)
-    splits = sorted(picked.select(*order).distinct().limit(4 * parts).collect())
-    rows = df.withColumns({
-        "__place": place, **{f"__v_{n}": v for n, v in sums.items()},
-    })
-    if splits:
-        points = F.array(*[
-            F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, s)])
-            for s in splits
-        ])
-        rows = rows.withColumn("splits", points).withColumn("__bucket", _bucket(F.col("__place")))
-        rows = rows.drop("splits")
-    else:
-        rows = rows.withColumn("__bucket", F.lit(0))
+    points = picked.agg(F.array_sort(F.collect_set(place)).alias("splits"))
+    rows = _with_bucket(df.withColumns({
+        "__place": place, "lookup": _lookup(points).scalar(),
+        **{f"__v_{n}": v for n, v in sums.items()},
+    }))
 
     names = list(sums)
     totals = rows.groupBy("__bucket").agg(*[F.sum(f"__v_{n}").alias(n) for n in names])
