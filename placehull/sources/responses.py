@@ -38,10 +38,13 @@ def decode_search(responses: DataFrame, body: str = "body") -> DataFrame:
 
 
 def flatten_results(decoded: DataFrame, *carry: str) -> DataFrame:
-    """One row per search result; ``search_rank`` counts from 1 before any filter."""
-    rows = decoded.where(F.col("status_class") == "ok").select(
-        "poi_id", *carry, F.posexplode("results").alias("pos", "r")
-    )
+    """One row per search result; ``search_rank`` counts from 1 before any filter.
+
+    Refused responses yield nothing by way of a null array: a filter on the status would be
+    pushed to the scan and parse every body a second time.
+    """
+    results = F.when(F.col("status_class") == "ok", F.col("results"))
+    rows = decoded.select("poi_id", *carry, F.posexplode(results).alias("pos", "r"))
     return rows.select(
         "poi_id",
         *carry,
