@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from placehull.llm import mixing, quality
+from placehull.llm import linededup, mixing, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op9_weak_supervision": quality.op9_weak_supervision,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op9_weak_supervision": quality.ORACLE,
+    "op10_line_dedup": linededup.ORACLE,
 }
