@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from placehull.llm import linededup, mixing, quality
+from placehull.llm import linededup, mixing, neardup, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op8_odd_sketch_neardup": neardup.op8_odd_sketch_neardup,
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op8_odd_sketch_neardup": neardup.ORACLE,
     "op9_weak_supervision": quality.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
