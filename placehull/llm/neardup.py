@@ -106,11 +106,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """A row per document with id, lower-cased words, digest, set size, band keys and sketch; written once."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(rows.mapInArrow(_sketch, f"row long, doc_id {kind}, {SKETCHED}"), "sketched")
+def sketched(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of each document with a row number, lower-cased words, digest, set size, band keys and sketch; written once."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *columns, F.col("text").cast("binary").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return stage(rows.mapInArrow(_sketch, f"{kinds}, {SKETCHED}"), "sketched")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +179,41 @@ def links(nodes: DataFrame) -> DataFrame:
     return first.unionByName(confirmed(crossed, texts))
 
 
-def group_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id, kept) per row of ``docs``; ``kept`` marks the row with the group's least id."""
-    rows = sketched(docs)
-    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+def grouped(rows: DataFrame, id_column: str) -> DataFrame:
+    """``rows`` (as ``sketched`` gives them) with ``component_id``: the least id of the group, or the own id where there is none to link."""
+    ids = F.col(id_column)
+    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("row").alias("node"), F.min(ids).alias("least"))
     classes = stage(classes, "classes")
     chosen = classes.select(F.col("node").alias("row"))
     nodes = rows.join(chosen, "row").select(F.col("row").alias("node"), "norm", "bands", "sketch")
     groups = components(links(stage(nodes, "nodes")))
     placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stage(placed, "placed")
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "component").select("f1", "f2", "component_id")
-    out = rows.select("row", "doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.withColumn("component_id", component)
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.join(named, "component").select("f1", "f2", "component_id")
+    out = rows.drop("norm", "bands", "sketch").join(named, ["f1", "f2"], "left").drop("f1", "f2")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(ids))
+
+
+def group_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; ``kept`` marks rows with their group's least id."""
+    out = grouped(sketched(docs, ["doc_id"]), "doc_id")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group, with the columns of ``docs``: the first of those with the least doc_id, null last."""
+    wrapped = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    rows = sketched(wrapped, ["__row"])
+    # A group is named by its least row number, so that rows that share an id still count as several.
+    slim = rows.select("row", F.col("__row.doc_id").alias("doc_id"), "n_shingles", "f1", "f2", "norm", "bands", "sketch")
+    groups = stage(grouped(slim, "row").select("row", "doc_id", F.col("component_id").alias("group")), "groups")
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("least"))
+    best = groups.join(least, "group").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    chosen = best.groupBy("group").agg(F.min("row").alias("row")).select("row")
+    return rows.select("row", "__row").join(chosen, "row").select("__row.*")
+
+
 def op8_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
