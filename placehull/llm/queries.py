@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from placehull.llm import decontaminate, linededup, mixing, neardup, quality
+from placehull.llm import decontaminate, linededup, mixing, neardup, ngrams, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_ngram_scores": ngrams.op2_ngram_scores,
     "op6_latent_decontamination": decontaminate.op6_latent_decontamination,
     "op8_odd_sketch_neardup": neardup.op8_odd_sketch_neardup,
     "op9_weak_supervision": quality.op9_weak_supervision,
