@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from placehull.llm import decontaminate, linededup, mixing, neardup, ngrams, quality
+from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, tokencount
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_scores": ngrams.op2_ngram_scores,
+    "op4_reply_trees": chat.op4_reply_trees,
     "op6_latent_decontamination": decontaminate.op6_latent_decontamination,
+    "op7_unigram_counts": tokencount.op7_unigram_counts,
     "op8_odd_sketch_neardup": neardup.op8_odd_sketch_neardup,
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
+    "op4_reply_trees": chat.ORACLE,
     "op1_mix_sources": mixing.ORACLE,
     "op8_odd_sketch_neardup": neardup.ORACLE,
     "op9_weak_supervision": quality.ORACLE,
