@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, tokencount
+from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_scores": ngrams.op2_ngram_scores,
     "op4_reply_trees": chat.op4_reply_trees,
+    "op5_site_style_text": sitestyle.op5_site_style_text,
     "op6_latent_decontamination": decontaminate.op6_latent_decontamination,
     "op7_unigram_counts": tokencount.op7_unigram_counts,
     "op8_odd_sketch_neardup": neardup.op8_odd_sketch_neardup,
