@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount
+from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_ngram_scores": ngrams.op2_ngram_scores,
+    "op3_warc_derivatives": warc.op3_warc_derivatives,
     "op4_reply_trees": chat.op4_reply_trees,
     "op5_site_style_text": sitestyle.op5_site_style_text,
     "op6_latent_decontamination": decontaminate.op6_latent_decontamination,
