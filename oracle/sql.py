@@ -343,12 +343,13 @@ put("retry_reasons", [ctes("fetch_log"), GAVE_UP],
     f"""select cast(http_status as varchar) as reason, count(*) as n from fetch_log where http_status in {RETRY} group by 1
 union all select 'total', count(*) from fetch_log where http_status in {RETRY}
 union all select 'max_reached', count(*) from gu where failures > 3""")
-put("parse_failures", accepted(NO_NAMES),
+_RINGLESS = """ringless as materialized (select poi_id, uid from (
+  select poi_id, uid, body->>'$.content.geo' as geo from boundary_response) where geo is not null and split_part(geo, '|', 3) = '')"""
+put("parse_failures", [*accepted(NO_NAMES), _RINGLESS],
     """select poi_id, cast(null as varchar) as uid, 'search' as level, 'quota' as reason from poi where poi_id % 50 = 0
 union all
 select a.poi_id, a.uid, 'boundary', 'no ring part' from accepted a
-join boundary_response b on b.poi_id = a.poi_id and b.uid = a.uid
-where b.body->>'$.content.geo' is not null and split_part(b.body->>'$.content.geo', '|', 3) = ''""")
+semi join ringless b on b.poi_id = a.poi_id and b.uid = a.uid""")
 
 # --- streaming: the same result as the batch job, for complete POIs with candidates ---
 put("stream_completion", ranked(NO_NAMES) + STATUS,

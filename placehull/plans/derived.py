@@ -1,6 +1,6 @@
 """Places, responses and logs derived from the TPC-H-like test tables.
 
-The texts below run unchanged in Spark and in DuckDB; ``ctes`` strings them together.
+The texts below run in Spark and in DuckDB, but for one expression; ``ctes`` strings them together.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from customer join nation on c_nationkey = n_nationkey
 """,
     "search_result": """
 select r.poi_id,
-  concat('u', cast(l_orderkey as varchar(20)), '_', cast(l_linenumber as varchar(20)), '_', cast(l_partkey as varchar(20)), '_', cast(l_suppkey as varchar(20))) as uid,
+  concat('u', cast(l_orderkey as varchar(20)), '_', cast(l_linenumber as varchar(20)), '_', cast(l_partkey as varchar(20)), '_', cast(l_suppkey as varchar(20)), '_', cast(r.search_rank as varchar(20))) as uid,
   case when l_linenumber % 3 = 0 then p.name else concat(p.name, ' ', l_returnflag) end as uid_name,
   r.search_rank,
   cast(p.lng as decimal(10,4)) + cast(0.0125 as decimal(10,4)) + cast((l_suppkey % 21 - 10) * 25 as decimal(10,0)) * cast(0.0001 as decimal(10,4)) as u_lng,
@@ -33,18 +33,12 @@ from (select o_custkey as poi_id, l.*, row_number() over (partition by o_custkey
         order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as search_rank
       from orders join lineitem l on o_orderkey = l_orderkey) r
 join poi p on p.poi_id = r.poi_id
-where r.search_rank <= 10 and r.poi_id % 20 <> 9
 """,
     "search_response": """
 select p.poi_id, case when p.poi_id % 50 = 0 then 401 else 0 end as status,
   concat('{"status":', case when p.poi_id % 50 = 0 then '401' else '0' end, ',"results":[', coalesce(s.items, ''), ']}') as body
 from poi p left join (
-  select poi_id, concat_ws(',',
-    max(case when search_rank = 1 then item end), max(case when search_rank = 2 then item end),
-    max(case when search_rank = 3 then item end), max(case when search_rank = 4 then item end),
-    max(case when search_rank = 5 then item end), max(case when search_rank = 6 then item end),
-    max(case when search_rank = 7 then item end), max(case when search_rank = 8 then item end),
-    max(case when search_rank = 9 then item end), max(case when search_rank = 10 then item end)) as items
+  select poi_id, ITEMS_BY_RANK as items
   from (select poi_id, search_rank,
           concat('{"name":"', uid_name, '","uid":"', uid, '","location":{"lat":', cast(u_lat as varchar(20)),
                  ',"lng":', cast(u_lng as varchar(20)), '}',
@@ -68,6 +62,11 @@ select user_id as request_id, event_id, ts,
 from events
 """,
 }
+#: The only text that differs: a list of any length in search order.
+ITEMS_BY_RANK = {
+    "duckdb": "string_agg(item, ',' order by search_rank)",
+    "spark": "array_join(transform(array_sort(collect_list(struct(search_rank, item))), x -> x.item), ',')",
+}
 NEEDS = {
     "poi": (),
     "search_result": ("poi",),
@@ -78,10 +77,11 @@ NEEDS = {
 BASE_TABLES = ("nation", "customer", "orders", "lineitem", "events")
 
 
-def ctes(*views: str) -> str:
+def ctes(*views: str, engine: str = "duckdb") -> str:
     """``name as (...)`` items for the views and what they need, in dependency order."""
     wanted = {v for view in views for v in (*NEEDS[view], view)}
-    return ",\n".join(f"{v} as ({VIEWS[v].strip()})" for v in VIEWS if v in wanted)
+    items = ITEMS_BY_RANK[engine]
+    return ",\n".join(f"{v} as ({VIEWS[v].strip().replace('ITEMS_BY_RANK', items)})" for v in VIEWS if v in wanted)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for t in BASE_TABLES
         if t in _base_tables(name)
     )
-    return spark.sql(f"with {tables},\n{ctes(name)}\nselect * from {name}")
+    return spark.sql(f"with {tables},\n{ctes(name, engine='spark')}\nselect * from {name}")
 
 
 def _base_tables(name: str) -> set[str]:

@@ -179,7 +179,10 @@ def results(aois: DataFrame, options: MatchOptions, hot_rows: int = HOT_ROWS) ->
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/results").drop("batch_id")
+    """One result per POI: a replayed batch may finish a POI again, and its newest result counts."""
+    rows = spark.read.parquet(f"{folder}/results")
+    newest = rows.groupBy("poi_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, ["poi_id", "batch_id"]).drop("batch_id")
 
 
 def still_open(accepted: DataFrame, finished: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from conftest import SMALL
 
 import __spark_entry__ as entry_module
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from oracle.sql import ORACLES
+from placehull.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
