@@ -2,8 +2,8 @@
 
 A document's set holds its distinct shingles of five words. Texts with one word sequence form a class, and one text stands
 for it. MinHash values in bands give buckets; the members of a bucket are compared with its least member, then members of different
-components with each other. A pair is first judged by odd sketches (parity bitmaps of the MinHash values:
-the bits set in the XOR of two bitmaps estimate the similarity); what passes is checked on the full sets. Components of the confirmed links are the
+components with each other. A pair is first judged by odd sketches (parity bitmaps of the MinHash values, and of the set itself:
+the bits set in the XOR of two bitmaps estimate the similarity and the number of items apart); what passes is checked on the full sets. Components of the confirmed links are the
 groups.
 
 Bands of 4 rows, 36 of them: a pair at similarity 0.75 shares no bucket with probability 1e-6. The sketch test
@@ -84,6 +84,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def set_parity(items: np.ndarray) -> np.ndarray:
+    """Bitmap in which each item of the set flips one bit."""
+    bits = (mix(items ^ SALTS[0]) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Hashes()
     for batch in batches:
@@ -101,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].append(int(f2))
             out[3].append(len(items))
             out[4].append(None if least is None else band_keys(least))
-            out[5].append(None if least is None else odd_sketch(least))
+            out[5].append(None if least is None else np.concatenate([odd_sketch(least), set_parity(items), [len(items)]]))
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [*batch.schema.names[:-1], "norm", "f1", "f2", "n_shingles", "bands", "sketch"]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
@@ -128,14 +134,29 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def flips(x: str, y: str) -> Column:
-    """Bits in the XOR of two sketches."""
+def flips(x: str, y: str, start: int) -> Column:
+    """Bits in the XOR of two bitmaps that begin at ``start`` of the sketches."""
     out = F.lit(0)
-    for i in range(BITS // 64):
+    for i in range(start, start + BITS // 64):
         out = out + F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseXOR(F.get(F.col(y), F.lit(i))))
     return out
 
 
+def alike(x: str, y: str) -> Column:
+    """Whether two sketches allow the similarity asked for.
+
+    Sets of sizes n and m that are similar at 0.75 differ in (n + m) / 7 items at most; the second bitmap's XOR then has the mean and
+    variance of that many items thrown into ``BITS`` bins, and five standard deviations are granted.
+    """
+    words = BITS // 64
+    size = lambda c: F.get(F.col(c), F.lit(2 * words)).cast("double")
+    apart = (size(x) + size(y)) * ((100 - SIMILAR) / (100 + SIMILAR))
+    p = (1 - F.exp(-2 * apart / BITS)) / 2
+    variance = BITS * p * (1 - p) - apart * F.exp(-4 * apart / BITS)
+    most = BITS * p + 5 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2
+    return (flips(x, y, 0) <= FAR) & (flips(x, y, words) <= most)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets are similar. ``texts``: (node, norm)."""
     pairs = stage(pairs.distinct(), "pairs")
@@ -160,7 +181,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     def close(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
         b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-        return pairs.join(a, "a").join(b, "b").filter(flips("sketch_a", "sketch_b") <= FAR).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").filter(alike("sketch_a", "sketch_b")).select("a", "b")
 
     def star(centre: str) -> DataFrame:
         pairs = members if centre == "low" else around
@@ -186,7 +207,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # Of two members outside the main component each pair comes once; the main component's members are on one side only.
     meet = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
     crossed = with_sketch(outside, "a").join(with_sketch(inside, "b"), "key")
-    crossed = crossed.filter(meet & (flips("sketch_a", "sketch_b") <= FAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossed = crossed.filter(meet & (alike("sketch_a", "sketch_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return first.unionByName(confirmed(crossed, texts))
 
 
