@@ -2,12 +2,13 @@
 
 A document's set holds its distinct shingles of five words. Texts with one word sequence form a class, and one text stands
 for it. MinHash values in bands give buckets; the members of a bucket are compared with its least member, then members of different
-components with each other. A pair is first judged by odd sketches (parity bitmaps of the MinHash values, and of the set itself:
-the bits set in the XOR of two bitmaps estimate the similarity and the number of items apart); what passes is checked on the full sets. Components of the confirmed links are the
-groups.
+components with each other. A pair is first judged by odd sketches (parity bitmaps of the MinHash values, and of the set
+itself: the bits set in the XOR of two bitmaps estimate the similarity and the number of items apart); what passes is
+checked on the full sets. Components of the confirmed links are the groups.
 
 Bands of 4 rows, 36 of them: a pair at similarity 0.75 shares no bucket with probability 1e-6. The sketch test
-asks for an estimate of about 0.56, almost four standard deviations below the threshold.
+asks for an estimate of about 0.56, almost four standard deviations below the threshold. The set bitmap loses nothing by
+its first bound, since the XOR never has more bits than the sets have items apart.
 
 Work in large buckets: two rounds of one comparison per member (a star) join a group of copies without all its pairs, first around the
 bucket's least member, then around the member with the most links so far. Then only members outside the bucket's main component meet the others, and
@@ -36,6 +37,7 @@ from placehull.session import stage
 SHINGLE = 5
 ROWS, BANDS = 4, 36
 BITS = 512
+SET_BITS = 512  # of the bitmap of the set
 FAR = 100  # bits in the XOR of two sketches beyond which a pair is not similar
 SIMILAR = 75  # percent
 SKETCHED = "norm binary, f1 long, f2 long, n_shingles long, bands array<long>, sketch array<long>"
@@ -86,8 +88,8 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
 
 def set_parity(items: np.ndarray) -> np.ndarray:
     """Bitmap in which each item of the set flips one bit."""
-    bits = (mix(items ^ SALTS[0]) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    bits = (mix(items ^ SALTS[0]) % np.uint64(SET_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=SET_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].append(int(f2))
             out[3].append(len(items))
             out[4].append(None if least is None else band_keys(least))
-            out[5].append(None if least is None else np.concatenate([odd_sketch(least), set_parity(items), [len(items)]]))
+            out[5].append(None if least is None else np.concatenate([[len(items)], odd_sketch(least), set_parity(items)]))
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [*batch.schema.names[:-1], "norm", "f1", "f2", "n_shingles", "bands", "sketch"]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
@@ -134,10 +136,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def flips(x: str, y: str, start: int) -> Column:
+def flips(x: str, y: str, start: int, bits: int) -> Column:
     """Bits in the XOR of two bitmaps that begin at ``start`` of the sketches."""
     out = F.lit(0)
-    for i in range(start, start + BITS // 64):
+    for i in range(start, start + bits // 64):
         out = out + F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseXOR(F.get(F.col(y), F.lit(i))))
     return out
 
@@ -145,16 +147,15 @@ def flips(x: str, y: str, start: int) -> Column:
 def alike(x: str, y: str) -> Column:
     """Whether two sketches allow the similarity asked for.
 
-    Sets of sizes n and m that are similar at 0.75 differ in (n + m) / 7 items at most; the second bitmap's XOR then has the mean and
-    variance of that many items thrown into ``BITS`` bins, and five standard deviations are granted.
+    Sets of sizes n and m that are similar at 0.75 differ in (n + m) / 7 items at most, and the set bitmap's XOR has no more bits than that. Where
+    items crowd the bitmap, the XOR has the mean and variance of as many items thrown into ``SET_BITS`` bins, and five standard deviations are granted.
     """
-    words = BITS // 64
-    size = lambda c: F.get(F.col(c), F.lit(2 * words)).cast("double")
-    apart = (size(x) + size(y)) * ((100 - SIMILAR) / (100 + SIMILAR))
-    p = (1 - F.exp(-2 * apart / BITS)) / 2
-    variance = BITS * p * (1 - p) - apart * F.exp(-4 * apart / BITS)
-    most = BITS * p + 5 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2
-    return (flips(x, y, 0) <= FAR) & (flips(x, y, words) <= most)
+    sizes = F.get(F.col(x), F.lit(0)) + F.get(F.col(y), F.lit(0))
+    apart = sizes.cast("double") * ((100 - SIMILAR) / (100 + SIMILAR))
+    p = (1 - F.exp(-2 * apart / SET_BITS)) / 2
+    variance = SET_BITS * p * (1 - p) - apart * F.exp(-4 * apart / SET_BITS)
+    most = F.least(F.floor(apart + 1e-6), SET_BITS * p + 5 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2)
+    return (flips(x, y, 1, BITS) <= FAR) & (flips(x, y, 1 + BITS // 64, SET_BITS) <= most)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -173,10 +174,10 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``nodes``: (node, bands, sketch), a row per word sequence; ``texts``: (node, norm) of these and others.
     """
-    sketches = nodes.select("node", "sketch")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     spans = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = stage(keys.join(spans.select("key", "low"), "key"), "buckets")
+    sketches = stage(nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
 
     def close(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
