@@ -235,8 +235,9 @@ from search_result r join poi p on p.poi_id = r.poi_id where starts_with(r.uid_n
 for _sort, _options in (("search", NO_NAMES), ("area", WITH_AREA), ("distance", NO_NAMES), ("similarity", BY_ROW)):
     _col = "rank_search_rank" if _sort == "search" else f"rank_{_sort}"
     put(f"rank_by_{_sort}", ranked(_options), f"select poi_id, uid, {_col} from ranked")
-put("weighted_rank", ranked(WITH_AREA),
-    "select poi_id, uid, rank_search_rank, rank_area, rank_distance, round(score, 6) as score from scored")
+for _name in ("weighted_rank", "weighted_rank_split"):
+    put(_name, ranked(WITH_AREA),
+        "select poi_id, uid, rank_search_rank, rank_area, rank_distance, round(score, 6) as score from scored")
 FIRST_UID = MatchOptions(prim_ind=VAR, sec_ind=VAR, sort_by_similarity=0, use_first_uid=True)
 for _name, _options in (
     ("best_aoi", NO_NAMES), ("best_aoi_full", BY_ROW), ("best_aoi_preset1", PRESET_1),
@@ -248,8 +249,9 @@ put("best_in_box", measured(SEARCH_ONLY),
 where p_lng between min_lng and max_lng and p_lat between min_lat and max_lat
 qualify row_number() over (partition by poi_id order by search_rank, uid) = 1""")
 put("candidate_lists", measured(NO_NAMES),
-    """select poi_id, cast(0 as bigint) as page, cast(count(*) as integer) as n,
-  string_agg(uid, ',' order by search_rank, uid) as uids from aois where valid group by poi_id""")
+    """select poi_id, page, cast(count(*) as integer) as n, string_agg(uid, ',' order by search_rank, uid) as uids
+from (select *, cast(floor((row_number() over (partition by poi_id order by search_rank, uid) - 1) / 1000) as bigint) as page
+  from aois where valid) group by poi_id, page""")
 
 # --- status and reports ---
 COUNTS = """counts as (select poi_id, count(*) as accepted, count(*) filter (where called) as called,

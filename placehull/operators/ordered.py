@@ -2,9 +2,13 @@
 
 A window partitioned by a group key puts each group in one task. That is right for the usual
 small group and fails for a key that holds a large share of all rows. The functions here find
-such hot groups by a checked count, cut each of them into ordered buckets at sampled split
-points, number the rows inside the buckets and add the totals of the lower buckets. The sample
-only decides how even the buckets are; the numbers are exact for any split points.
+groups above a fixed row count, range-partition their rows by key and order into as many parts
+as the rows need, write them once and add what lies below a part or a group. Nothing depends
+on how even the parts are.
+
+The number of parts, and so the tables of part offsets and of hot groups, is rows /
+``hot_rows``. Both are written tables that are joined, so Spark broadcasts them only while their
+size is below its own threshold. Null keys form a group like any other.
 
 Inputs are read more than once, so pass tables (scans or staged tables), not long lineages.
 """
@@ -12,99 +16,65 @@ Inputs are read more than once, so pass tables (scans or staged tables), not lon
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # a group of up to this many narrow rows may be sorted by one task
-MAX_HOT_GROUPS = 10_000  # bound on the hot list, and so on everything broadcast below
-MAX_SPLITS = 1024
+from placehull.session import stage
+
+HOT_ROWS = 4_000_000  # narrow rows that one task may sort
+LOCAL_BITS = (1 << 33) - 1  # row position inside a partition in monotonically_increasing_id
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys of the groups above the limit with their ``group_rows``; None when there are none.
+    """Keys of the groups above the limit, ``group_rows`` and ``group_start``; None when there are none.
 
-    The limit rises to a ten-thousandth of all rows, so at most ``MAX_HOT_GROUPS`` groups can
-    exceed it. That list is collected (its size is proven) and returned as a local table.
+    ``group_start`` counts the rows of the hot groups before this one in key order.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
-    total = df.count()
-    limit = max(hot_rows, -(-total // MAX_HOT_GROUPS))
-    if total <= limit:
+    hot = stage(sizes.where(F.col("group_rows") > hot_rows), "hot_sizes")
+    if hot.isEmpty():
         return None
-    rows = sizes.where(F.col("group_rows") > limit).collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, sizes.schema)
-
+    # one row per hot group: a hot_rows-th of the input at most
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("group_rows").over(before), F.lit(0))
+    return stage(hot.withColumn("group_start", start), "hot_groups")
 
-def _split_points(hot_df: DataFrame, keys: Sequence[str], order: Column, hot_rows: int) -> DataFrame:
-    """Per hot group sorted order structs, picked by hash (the same ones on every run)."""
-    wanted = F.least(
-        F.lit(MAX_SPLITS - 1), F.ceil(F.col("group_rows") / F.lit(hot_rows)) * 4
-    )
-    # a hash of the order columns in 0..group_rows-1 falls below ``wanted`` that many times
-    picked = hot_df.where(F.pmod(F.xxhash64(order), F.col("group_rows")) < wanted)
-    points = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("splits"))
-    return _lookup(points, *keys)
 
+def with_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of per-group columns in which null keys meet as well."""
+    renamed = facts.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(renamed, same, "left").drop(*[f"__key_{k}" for k in keys])
 
-def _lookup(points: DataFrame, *keep: str) -> DataFrame:
-    """Replace ``splits`` by a struct with every step-th split apart, for a two-level search."""
-    points = points.withColumn("step", F.ceil(F.sqrt(F.greatest(F.size("splits"), F.lit(1)))).cast("int"))
-    coarse = F.filter("splits", lambda s, i: i % F.col("step") == F.col("step") - 1)
-    return points.select(*keep, F.struct("splits", "step", coarse.alias("coarse")).alias("lookup"))
 
+def _part_count(rows: int, part_rows: int) -> int:
+    return max(1, -(-rows // part_rows))
 
-def _with_bucket(rows: DataFrame) -> DataFrame:
-    """Add ``__bucket``: how many split points are not above the row's ``__place``.
 
-    The row is compared with the coarse points, then with the ones between two of them: about
-    2 * sqrt(splits) comparisons. Without a lookup everything is bucket 0.
-    """
-    rows = rows.withColumn("__c", F.size(F.filter("lookup.coarse", lambda s: s <= F.col("__place"))))
-    step = F.col("lookup.step")
-    rest = F.slice("lookup.splits", F.col("__c") * step + 1, step)
-    fine = F.size(F.filter(rest, lambda s: s <= F.col("__place")))
-    bucket = F.when(F.col("lookup").isNull(), 0).otherwise(F.col("__c") * step + fine)
-    return rows.withColumn("__bucket", bucket).drop("lookup", "__c")
+def _with_offsets(dealt: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+    """Add ``__below_<name>``: the sums over all parts before the row's ``__bucket``."""
+    totals = dealt.groupBy("__bucket").agg(*[v.alias(f"__total_{n}") for n, v in sums.items()])
+    # one row per part
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    below = [F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__below_{n}") for n in sums]
+    return dealt.join(stage(totals.select("__bucket", *below), "part_offsets"), "__bucket")
 
 
-def running_in_hot_groups(
-    hot_df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Running sums of ``sums`` per group in ``order`` for rows that carry ``group_rows``."""
-    base = hot_df.columns
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    splits = _split_points(hot_df, keys, place, hot_rows)
-    values = {f"__v_{name}": value for name, value in sums.items()}
-    rows = hot_df.join(F.broadcast(splits), list(keys), "left").withColumns(
-        {"__place": place, **values}
+def _number_hot(big: DataFrame, keys: Sequence[str], name: str, order: Sequence[Column], parts: int) -> DataFrame:
+    """Row numbers of hot rows: place in the order over all of them minus the group's start."""
+    place = [*(F.col(k) for k in keys), *order]
+    dealt = (
+        big.repartitionByRange(parts, *place)
+        .sortWithinPartitions(*place)
+        .withColumn("__bucket", F.spark_partition_id())
+        .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_BITS)))
     )
-    rows = _with_bucket(rows)
-
-    totals = rows.groupBy(*keys, "__bucket").agg(
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums]
-    )
-    # at most MAX_SPLITS rows per group from here on
-    below = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *keys, "__bucket",
-        *[F.coalesce(F.sum(f"__t_{n}").over(below), F.lit(0)).alias(f"__b_{n}") for n in sums],
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("__place").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = rows.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in sums})
-    rows = rows.join(F.broadcast(offsets), [*keys, "__bucket"])
-    done = [(F.col(f"__r_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums]
-    return rows.select(*base, *done)
+    rows = _with_offsets(stage(dealt, "dealt"), {"rows": F.count("*")})
+    number = F.col("__below_rows") + F.col("__local") - F.col("group_start") + 1
+    return rows.withColumn(name, number).drop("__bucket", "__local", "__below_rows")
 
 
 def row_numbers(
@@ -115,7 +85,7 @@ def row_numbers(
 ) -> DataFrame:
     """Add 1-based row numbers per group, one column for each named order.
 
-    All orders share one shuffle on the keys; only hot groups take the bucketed way.
+    All orders share one shuffle on the keys; only hot groups take the range-partitioned way.
     """
     window = Window.partitionBy(*keys)
 
@@ -128,46 +98,29 @@ def row_numbers(
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
         return plain(df)
-    big = df.join(F.broadcast(hot), list(keys))
+    parts = _part_count(hot.agg(F.sum("group_rows")).first()[0], hot_rows)
+    marked = with_group_facts(df, hot, keys)
+    big = marked.where("group_rows is not null")
     for name, order in orders.items():
-        big = running_in_hot_groups(big, keys, order, {name: F.lit(1).cast("long")}, hot_rows)
-    small = df.join(F.broadcast(hot), list(keys), "left_anti")
+        big = _number_hot(big, keys, name, order, parts)
+    small = marked.where("group_rows is null").select(*df.columns)
     return plain(small).unionByName(big.select(*df.columns, *orders))
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], parts: int = 256
+    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], part_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Running sums over all rows in one global order, without one task seeing all rows.
 
-    About ``parts`` split points travel as a scalar subquery; the bucket totals, one more, are
-    the only rows that reach the driver.
+    The parts hold about ``part_rows`` rows each; ``__bucket`` tells a row's part.
     """
-    spark = df.sparkSession
-    parts = max(1, min(parts, MAX_SPLITS // 4))
-    total = df.count()
-    place = F.struct(*order)
-    # a hash of the order columns in 0..total-1 falls below ``parts`` that many times
-    picked = df.where(F.pmod(F.xxhash64(place), F.lit(max(total, 1))) < parts)
-    points = picked.agg(F.array_sort(F.collect_set(place)).alias("splits"))
-    rows = _with_bucket(df.withColumns({
-        "__place": place, "lookup": _lookup(points).scalar(),
-        **{f"__v_{n}": v for n, v in sums.items()},
-    }))
-
-    names = list(sums)
-    totals = rows.groupBy("__bucket").agg(*[F.sum(f"__v_{n}").alias(n) for n in names])
-    lower = [0] * len(names)
-    offsets = []
-    for row in sorted(totals.collect(), key=lambda r: r["__bucket"]):
-        offsets.append((row["__bucket"], *lower))
-        lower = [a + (row[n] or 0) for a, n in zip(lower, names)]
-    fields = ", ".join(["__bucket int"] + [f"__b_{n} bigint" for n in names])
-    table = spark.createDataFrame(offsets, fields)
-    inside = Window.partitionBy("__bucket").orderBy("__place").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = rows.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in names})
-    rows = rows.join(F.broadcast(table), "__bucket")
-    done = [(F.col(f"__r_{n}") + F.col(f"__b_{n}")).alias(n) for n in names]
-    return rows.select(*df.columns, "__bucket", *done)
+    parts = _part_count(df.count(), part_rows)
+    valued = df.withColumns({f"__value_{n}": v for n, v in sums.items()})
+    dealt = valued.repartitionByRange(parts, *order).withColumn("__bucket", F.spark_partition_id())
+    dealt = stage(dealt, "dealt")
+    rows = _with_offsets(dealt, {n: F.sum(f"__value_{n}") for n in sums})
+    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # the window takes over this partitioning, so its tasks grow in number with the rows
+    rows = rows.repartition(parts, "__bucket")
+    rows = rows.withColumns({n: F.sum(f"__value_{n}").over(inside) + F.col(f"__below_{n}") for n in sums})
+    return rows.select(*df.columns, "__bucket", *sums)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placehull.functions.text import duration_text, percent_text, remaining_text, speed_text
-from placehull.operators.ordered import running_totals
+from placehull.operators.ordered import HOT_ROWS, running_totals
 from placehull.operators.status import MATCHED, NO_GEOMETRY, NO_UID
 
 
@@ -80,30 +79,24 @@ def throughput(done: DataFrame, to_do: int | Column, ts: str = "ts") -> DataFram
     )
 
 
-def flush_points(calls: DataFrame, order: list[str], interval: int) -> DataFrame:
+def flush_points(calls: DataFrame, order: list[str], interval: int, part_rows: int = HOT_ROWS) -> DataFrame:
     """Arrivals at which the running number of calls is a multiple of the interval."""
     if interval <= 0:
         raise ValueError("interval must be positive")
-    rows = running_totals(calls, order, {"calls": F.lit(1).cast("long")})
+    rows = running_totals(calls, order, {"calls": F.lit(1).cast("long")}, part_rows)
     return rows.where(F.col("calls") % interval == 0).drop("__bucket")
 
 
-def progress_changes(events: DataFrame, order: list[str], total: int) -> DataFrame:
+def progress_changes(events: DataFrame, order: list[str], total: int, part_rows: int = HOT_ROWS) -> DataFrame:
     """Running histogram in arrival order, one row each time it differs from the one before.
 
-    The running counts never fall, so a row repeats its predecessor exactly when its own
-    status counts nowhere; the look-back therefore stays inside the row's bucket and the
-    first row of a bucket is judged by its own status.
+    The running counts never fall, so a row differs from its predecessor exactly when its own
+    status is one of those counted.
     """
     named = (("matched", MATCHED), ("no_uid", NO_UID), ("no_geometry", NO_GEOMETRY))
     flags = {n: F.when(F.col("status") == s, 1).otherwise(0).cast("long") for n, s in named}
-    rows = running_totals(events, order, flags)
-    now = F.struct(*[n for n, _ in named])
-    back = Window.partitionBy("__bucket").orderBy(*order)
-    own = F.coalesce(F.col("status").isin(*[s for _, s in named]), F.lit(False))
-    before = F.lag(now).over(back)
-    rows = rows.withColumn("changed", F.when(before.isNull(), own).otherwise(now != before))
-    rows = rows.where("changed").withColumn("total", F.lit(total).cast("long"))
+    rows = running_totals(events, order, flags, part_rows)
+    rows = rows.where(F.col("status").isin(*[s for _, s in named])).withColumn("total", F.lit(total).cast("long"))
     rows = rows.withColumn("resolved", F.col("matched") + F.col("no_uid") + F.col("no_geometry"))
     return rows.select(
         *order, "matched", "no_uid", "no_geometry", "resolved", progress_text().alias("progress")

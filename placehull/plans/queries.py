@@ -349,6 +349,15 @@ def weighted_rank(spark, sf):
     )
 
 
+@query
+def weighted_rank_split(spark, sf):
+    """The same ranks with groups above 20 rows taking the range-partitioned way."""
+    scored = score_aois(match_job(spark, sf, WITH_AREA).valid(), WITH_AREA, hot_rows=20)
+    return scored.select(
+        "poi_id", "uid", "rank_search_rank", "rank_area", "rank_distance", rounded("score")
+    )
+
+
 def _best_query(options: MatchOptions) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         best = match_job(spark, sf, options).best()

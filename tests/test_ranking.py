@@ -67,7 +67,7 @@ def test_running_totals_match_a_plain_scan(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(5), i, rng.randrange(3)) for i in range(2000)]
     df = spark.createDataFrame(rows, "ts int, id int, v int").repartition(7)
-    got = running_totals(df, ["ts", "id"], {"s": F.col("v").cast("long")}, parts=20).collect()
+    got = running_totals(df, ["ts", "id"], {"s": F.col("v").cast("long")}, part_rows=100).collect()
     want, total = {}, 0
     for ts, i, v in sorted(rows):
         total += v
