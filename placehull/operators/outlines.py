@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placehull.functions.coords import (
@@ -20,11 +20,21 @@ from placehull.functions.utm import to_utm
 from placehull.options import MatchOptions
 
 
+def response_order(geo: str = "geo") -> Column:
+    """Which of several responses to one request counts, least first: one with an outline, then by its digest.
+
+    Batch and stream share this rule, so the order of arrival does not matter.
+    """
+    return F.struct(F.col(geo).isNull().alias("none"), F.md5(F.col(geo).cast("binary")).alias("digest"))
+
+
 def boundaries_once(decoded: DataFrame) -> DataFrame:
-    """One boundary per (poi_id, uid): a usable one if any, merged map-side."""
-    keyed = decoded.select(F.struct("poi_id", "uid").alias("aoi_key"), "geo", "multi_part")
-    pick = F.min(F.struct(F.col("geo").isNull().alias("none"), "geo", "multi_part"))
-    return keyed.groupBy("aoi_key").agg(pick.alias("b")).select(
+    """One boundary per (poi_id, uid), the least by ``response_order``, merged map-side."""
+    keyed = decoded.select(
+        F.struct("poi_id", "uid").alias("aoi_key"), response_order().alias("pick"), "geo", "multi_part"
+    )
+    least = F.min(F.struct("pick", "geo", "multi_part"))
+    return keyed.groupBy("aoi_key").agg(least.alias("b")).select(
         "aoi_key", F.col("b.geo").alias("geo"), F.col("b.multi_part").alias("multi_part"),
         F.lit(True).alias("called"),
     )

@@ -352,7 +352,7 @@ def weighted_rank(spark, sf):
 @query
 def weighted_rank_split(spark, sf):
     """The same ranks with groups above 20 rows taking the range-partitioned way."""
-    scored = score_aois(match_job(spark, sf, WITH_AREA).valid(), WITH_AREA, hot_rows=20)
+    scored = ranking.score_aois(match_job(spark, sf, WITH_AREA).valid(), WITH_AREA, hot_rows=20)
     return scored.select(
         "poi_id", "uid", "rank_search_rank", "rank_area", "rank_distance", rounded("score")
     )
@@ -560,13 +560,18 @@ def csv_roundtrip(spark, sf):
 
 @query
 def stream_completion(spark, sf):
-    """All boundary responses through the two streaming queries, in several micro-batches."""
+    """All boundary responses through the two streaming queries, in several micro-batches.
+
+    An empty response to every request arrives as well, in files of its own.
+    """
     from placehull.streaming import completion as stream
 
     folder = scratch_path(spark, "stream_completion")
     source = f"{folder}/responses"
     responses = captured(spark, sf, "boundary_response").select("poi_id", "uid", "body")
-    responses.repartition(4, F.rand(7)).write.parquet(source)
+    broken = responses.withColumn("body", F.lit('{"content":{}}'))
+    broken.repartition(2, "uid").write.parquet(source)
+    responses.repartition(4, "uid").write.mode("append").parquet(source)
     accepted = accept(_judged(spark, sf, NO_NAMES), NO_NAMES)
     arriving = stream.read_responses(spark, source, files_per_trigger=2)
     stream.measure(arriving, accepted, NO_NAMES, folder).awaitTermination()

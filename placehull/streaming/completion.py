@@ -2,29 +2,26 @@
 
 Two queries, joined by tables on shared storage:
 
-``measure``   responses -> measured areas (table ``aois``) and, per POI and micro-batch, the
-              number of responses seen (table ``calls``). Both are written under the batch id
-              and overwritten when a batch is replayed.
-``finish``    ``calls`` -> keyed state with two counters per POI. When they meet, the POI's areas
-              are read back, ranked like in the batch job and written to ``results``.
-
-State never holds areas or outlines, and a POI with very many responses reaches the state as
-one counted row per micro-batch.
+``measure``   responses -> measured areas (table ``aois``, every arrival) and the POIs heard of (table
+              ``calls``). Both are written under the batch id and overwritten when a batch is replayed.
+``finish``    ``calls`` -> for the POIs heard of, all their measured areas are read back, one per
+              (poi_id, uid) is chosen by the rule of the batch job, and where every accepted candidate has
+              an answer the POI is ranked and written to ``results``.
+
+The tables are the state: repeats, replays and any order of arrival give the same result, a
+better answer that comes late writes a new result, and a POI that stays incomplete stays open.
+The cost of a trigger includes a scan of the measured areas (narrow rows, no outlines).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placehull.operators.candidates import CANDIDATE_FIELDS
 from placehull.operators.ordered import HOT_ROWS
-from placehull.operators.outlines import aoi_metrics, boundaries_once
+from placehull.operators.outlines import aoi_metrics, boundaries_once, response_order
 from placehull.operators.ranking import best_per_poi, score_aois
 from placehull.operators.status import MATCHED, NO_GEOMETRY
 from placehull.operators.validity import judge_aois
@@ -33,9 +30,7 @@ from placehull.session import stage
 from placehull.sources.responses import decode_boundaries
 
 RESPONSE_SCHEMA = "poi_id bigint, uid string, body string"
-CALLS_SCHEMA = "poi_id bigint, accepted bigint, called bigint, batch_id bigint"
-STATE_SCHEMA = "called bigint, first_batch bigint, last_batch bigint"
-DONE_SCHEMA = "poi_id bigint, first_batch bigint"
+CALLS_SCHEMA = "poi_id bigint, accepted bigint, batch_id bigint"
 
 
 def read_responses(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -57,30 +52,26 @@ def measure(
     options: MatchOptions,
     folder: str,
     every: str | None = None,
-    late_after: str | None = None,
 ) -> StreamingQuery:
     """Start the measuring query; ``every`` sets the flush interval, otherwise it drains and ends.
 
-    ``accepted`` are the accepted candidates of the batch job. A repeated (poi_id, uid) counts
-    once; with ``late_after`` (needs a ``ts`` column) that memory is bounded by a watermark.
+    ``accepted`` are the accepted candidates of the batch job.
     """
     spark = responses.sparkSession
     candidates = stage(accepted.select("aoi_key", "poi_id", *CANDIDATE_FIELDS), "accepted")
     totals = stage(
         candidates.groupBy("poi_id").agg(F.count("*").alias("accepted")), "accepted_totals"
     )
-    if late_after:
-        once = responses.withWatermark("ts", late_after).dropDuplicatesWithinWatermark(["poi_id", "uid"])
-    else:
-        once = responses.dropDuplicates(["poi_id", "uid"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         arrived = boundaries_once(decode_boundaries(batch))
         rows = judge_aois(aoi_metrics(candidates.join(arrived, "aoi_key"), options), options)
+        order = arrived.select("aoi_key.poi_id", "aoi_key.uid", response_order().alias("pick"))
+        rows = rows.join(order, ["poi_id", "uid"])
         aois = f"{folder}/aois/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(aois)
         seen = batch.sparkSession.read.schema(rows.schema).parquet(aois)
-        calls = seen.groupBy("poi_id").agg(F.count("*").alias("called"))
+        calls = seen.select("poi_id").distinct()
         calls.join(totals, "poi_id").write.mode("overwrite").parquet(
             f"{folder}/calls/batch_id={batch_id}"
         )
@@ -88,7 +79,7 @@ def measure(
     for name in ("aois", "calls"):  # so that the second query finds its source
         _ensure_folder(spark, f"{folder}/{name}")
     return (
-        once.writeStream.foreachBatch(write)
+        responses.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint_measure")
         .trigger(**_trigger(every))
         .start()
@@ -100,33 +91,11 @@ def _ensure_folder(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
 
 
-def count_calls(timeout_ms: int | None):
-    """State function: add up a POI's counts and emit it once when all responses are in.
-
-    A failed response counts like any other. After ``timeout_ms`` without news the state is
-    dropped and nothing is emitted: the POI stays open for a later run.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("batch_id")  # one row per batch: small
-        called, first, last = state.get if state.exists else (0, int(rows.batch_id.iloc[0]), -1)
-        rows = rows[rows.batch_id > last].drop_duplicates("batch_id")  # replayed batches
-        if rows.empty:
-            return
-        called += int(rows.called.sum())
-        if called < int(rows.accepted.iloc[0]):
-            state.update((called, first, int(rows.batch_id.iloc[-1])))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-            return
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame({"poi_id": [key[0]], "first_batch": [first]})
-
-    return step
+def chosen(aois: DataFrame) -> DataFrame:
+    """One measured area per (poi_id, uid): that of the response which counts in the batch job."""
+    fields = [c for c in aois.columns if c not in ("poi_id", "uid", "pick", "batch_id")]
+    least = F.min(F.struct("pick", "batch_id", *fields)).alias("a")
+    return aois.groupBy("poi_id", "uid").agg(least).select("poi_id", "uid", *[F.col(f"a.{c}").alias(c) for c in fields])
 
 
 def finish(
@@ -134,34 +103,26 @@ def finish(
     options: MatchOptions,
     folder: str,
     every: str | None = None,
-    timeout_ms: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> StreamingQuery:
     """Start the finishing query over the tables that ``measure`` writes."""
-    calls = spark.readStream.schema(CALLS_SCHEMA).parquet(f"{folder}/calls")
-    done = calls.groupBy("poi_id").applyInPandasWithState(
-        count_calls(timeout_ms),
-        DONE_SCHEMA,
-        STATE_SCHEMA,
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        complete = stage(batch, "complete")
-        first = complete.agg(F.min("first_batch").alias("first")).first()["first"]
-        if first is None:
+        heard = stage(batch.groupBy("poi_id").agg(F.max("accepted").alias("accepted")), "heard")
+        if heard.isEmpty():
             return
-        # only the batches since the oldest of these POIs was first heard of
-        log = batch.sparkSession.read.parquet(f"{folder}/aois").where(F.col("batch_id") >= first)
-        aois = stage(log.join(complete.select("poi_id"), "poi_id", "left_semi"), "complete_aois")
-        results(aois, options, hot_rows).write.mode("overwrite").parquet(
+        log = batch.sparkSession.read.parquet(f"{folder}/aois")
+        aois = stage(chosen(log.join(heard.select("poi_id"), "poi_id", "left_semi")), "heard_aois")
+        called = aois.groupBy("poi_id").agg(F.count("*").alias("called"))
+        complete = called.join(heard, "poi_id").where("called >= accepted").select("poi_id")
+        complete = stage(aois.join(complete, "poi_id", "left_semi"), "complete_aois")
+        results(complete, options, hot_rows).write.mode("overwrite").parquet(
             f"{folder}/results/batch_id={batch_id}"
         )
 
     return (
-        done.writeStream.foreachBatch(write)
-        .outputMode("append")
+        spark.readStream.schema(CALLS_SCHEMA).parquet(f"{folder}/calls")
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint_finish")
         .trigger(**_trigger(every))
         .start()
@@ -179,7 +140,7 @@ def results(aois: DataFrame, options: MatchOptions, hot_rows: int = HOT_ROWS) ->
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """One result per POI: a replayed batch may finish a POI again, and its newest result counts."""
+    """One result per POI: repeats and replays may finish a POI again, and its newest result counts."""
     rows = spark.read.parquet(f"{folder}/results")
     newest = rows.groupBy("poi_id").agg(F.max("batch_id").alias("batch_id"))
     return rows.join(newest, ["poi_id", "batch_id"]).drop("batch_id")

@@ -1,52 +1,38 @@
-import json
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from placehull.operators.candidates import accept
+from placehull.operators.outlines import aoi_metrics, attach_boundaries, boundaries_once
+from placehull.operators.validity import judge_aois
 from placehull.plans.derived import view
 from placehull.plans.queries import NO_NAMES, _judged
+from placehull.session import stage
+from placehull.sources.responses import decode_boundaries
 from placehull.streaming import completion as stream
 
 
-class FakeState:
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def feed(state, *rows, timeout=None):
-    step = stream.count_calls(timeout)
-    frame = pd.DataFrame(rows, columns=["poi_id", "accepted", "called", "batch_id"])
-    return [tuple(o.iloc[0]) for o in step((1,), iter([frame]), state)]
-
-
-def test_state_counts_batches_once():
-    state = FakeState()
-    assert feed(state, (1, 3, 1, 4)) == []
-    assert feed(state, (1, 3, 1, 4)) == []  # the same batch again
-    assert state.value == (1, 4, 4)
-    assert feed(state, (1, 3, 2, 6)) == [(1, 4)]
-    assert not state.exists
-
-
-def test_timeout_drops_the_state():
-    state = FakeState()
-    assert feed(state, (1, 3, 1, 0), timeout=1000) == [] and state.timeout == 1000
-    state.hasTimedOut = True
-    assert feed(state, timeout=1000) == [] and not state.exists
+def test_repeats_replays_and_order_give_the_batch_result(spark, tmp_path):
+    """Empty answers first, good ones after them, everything once more: the result is the batch job's."""
+    poi_ids = [1, 2, 4, 5, 6, 8]
+    accepted = accept(_judged(spark, SMALL, NO_NAMES).where(F.col("poi_id").isin(poi_ids)), NO_NAMES)
+    responses = view(spark, SMALL, "boundary_response").where(F.col("poi_id").isin(poi_ids))
+    responses = responses.select("poi_id", "uid", "body")
+    broken = responses.withColumn("body", F.lit('{"content":{}}'))
+    boundaries = boundaries_once(decode_boundaries(responses))
+    measured = judge_aois(aoi_metrics(attach_boundaries(accepted, boundaries), NO_NAMES), NO_NAMES)
+    complete = measured.groupBy("poi_id").agg(F.every("called").alias("all")).where("all").select("poi_id")
+    batch = stream.results(stage(measured.join(complete, "poi_id"), "batch"), NO_NAMES)
+    want = {r.poi_id: (r.status, r.uid, r.score) for r in batch.collect()}
+    assert any(s == "Matched" for s, _, _ in want.values())
+    for run, parts in enumerate([(broken, responses, responses), (responses, broken)]):
+        folder, source = f"{tmp_path}/{run}", f"{tmp_path}/in{run}"
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(source)
+            arriving = stream.read_responses(spark, source)
+            stream.measure(arriving, accepted, NO_NAMES, folder).awaitTermination()
+            stream.finish(spark, NO_NAMES, folder).awaitTermination()
+        got = [(r.poi_id, (r.status, r.uid, r.score)) for r in stream.read_results(spark, folder).collect()]
+        assert len(got) == len(want) and dict(got) == want
 
 
 def test_stop_and_resume(spark, tmp_path):
@@ -75,4 +61,5 @@ def test_stop_and_resume(spark, tmp_path):
     want = {r.poi_id: (r.status, r.uid) for r in stream.read_results(spark, once).collect()}
     assert got == want and got
     open_pois = {r.poi_id for r in stream.still_open(accepted, stream.read_results(spark, folder)).collect()}
-    assert open_pois.isdisjoint(got) and json.dumps(sorted(open_pois)) is not None
+    every_poi = {r.poi_id for r in accepted.select("poi_id").collect()}
+    assert open_pois == every_poi - set(got)
