@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc
+from placehull.llm import (
+    chat,
+    decontaminate,
+    fillmiddle,
+    linededup,
+    mergetable,
+    mixing,
+    neardup,
+    ngrams,
+    quality,
+    sitestyle,
+    tokencount,
+    warc,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_odd_sketch_neardup": neardup.op8_odd_sketch_neardup,
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_prefix_table_ids": mergetable.op11_prefix_table_ids,
+    "op12_fill_in_middle": fillmiddle.op12_fill_in_middle,
 }
 
 ORACLES = {
@@ -23,4 +38,5 @@ ORACLES = {
     "op8_odd_sketch_neardup": neardup.ORACLE,
     "op9_weak_supervision": quality.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op12_fill_in_middle": fillmiddle.ORACLE,
 }
