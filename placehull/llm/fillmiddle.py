@@ -168,14 +168,15 @@ def fill_in_middle(docs: DataFrame, fim_percent: int = FIM_PERCENT, spm_percent:
 def digests(made: DataFrame) -> DataFrame:
     """``made`` with digests of the output and of the text restored from output and form alone."""
     names = [c for c in made.columns if c not in ("output", "text")]
-    out = made.select(*names, F.lit("").alias("output_sha256"), F.lit("").alias("restored_sha256"))
+    columns = [*names, "output_sha256", "restored_sha256"]
+    out = made.select(*names, *(F.lit("").alias(c) for c in columns[-2:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             outputs = [(o.as_py(), f.as_py()) for o, f in zip(batch.column("output"), batch.column("form"))]
             made = [pa.array([digest(o) for o, _ in outputs], pa.string()), pa.array([digest(restore(*x)) for x in outputs], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=out.columns)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=columns)
 
     return made.mapInArrow(run, out.schema)
 
