@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from placehull.llm import (
+    alignment,
     chat,
     decontaminate,
     fillmiddle,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_prefix_table_ids": mergetable.op11_prefix_table_ids,
     "op12_fill_in_middle": fillmiddle.op12_fill_in_middle,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLES = {

@@ -1,5 +1,6 @@
 """Token ids, fill-in-middle and alignment: against the libraries, brute force and odd rows."""
 
+import collections
 import hashlib
 import random
 import re
@@ -7,9 +8,10 @@ import re
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from test_corpus import SMALL, odd_documents
 
-from placehull.llm import fillmiddle, mergetable
+from placehull.llm import alignment, fillmiddle, mergetable
 
 TRICKY = [
     "", " ", "  ", "a", " a", "a ", "a  b   c", "\n", " \n", "\n\n x", "a\tb\r\n", "▁", "▁a ▁▁b", "<s>hi</s>", "<0x41>", "日本語 😀😀 x", "\x00a b",
@@ -99,3 +101,82 @@ def test_middle_rows(spark):
     texts = {r.doc_id: r.text or "" for r in made.collect()}
     assert all(r.restored_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
     assert fillmiddle.digests(fillmiddle.fill_in_middle(odd_documents(spark, True))).count() == 0
+
+
+def aligned_by_force(texts):
+    """Whole texts through both libraries, byte by byte."""
+    from tokenizers import Tokenizer
+
+    files = alignment.tokenizer_files()
+    a = Tokenizer.from_str(files.first)
+    a.encode_special_tokens = True
+    names = {i: t for t, i in a.get_vocab(with_added_tokens=False).items()}
+    letters, b = alignment.byte_letters(), library()
+
+    def b_bytes(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) and b.is_byte(i) else piece.replace("▁", " ").encode()
+
+    per_doc = []
+    for text in texts:
+        whole = f" {text}"
+        ids = a.encode(whole, add_special_tokens=False).ids if text else [], b.encode(text or "")
+        parts = [bytes(letters[c] for c in names[i]) for i in ids[0]], [b_bytes(i) for i in ids[1]]
+        if not text or any(b"".join(p) != whole.encode() for p in parts):
+            per_doc.append(None)
+            continue
+        covers = [[k for k, p in enumerate(side) for _ in p] for side in parts]  # byte -> token
+        links = sorted(set(zip(*covers)))
+        ends = [set(np.cumsum([len(p) for p in side]).tolist()) for side in parts]
+        cuts, spelled, at = sorted(ends[0] & ends[1]), [], 0
+        for cut in cuts:
+            spelled.append("|".join(",".join(str(i[k]) for k in sorted(set(c[at:cut]))) for i, c in zip(ids, covers)))
+            at = cut
+        per_doc.append((ids, [(ids[0][x], ids[1][y]) for x, y in links], spelled))
+    count = collections.Counter(pair for d in per_doc if d for pair in set(d[1]))
+    top = collections.Counter()
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    for d in per_doc:
+        if d is None:
+            yield (0, 0, 0, 0, 0, 0, "")
+        else:
+            (x, y), links, groups = d
+            yield (
+                len(x), len(y), len(groups), len(links), sum(count[p] == top[p[0]] for p in links), sum(count[p] for p in links),
+                hashlib.sha256(";".join(groups).encode()).hexdigest(),
+            )
+
+
+@pytest.mark.parametrize("rounds", [False, True])
+def test_alignment_equals_brute_force(spark, texts, rounds):
+    texts = [*TRICKY, None, None, *texts, *texts[:5], "x" * 50_000, "a<|endoftext|>b </s> [INST]", " 日本 語é" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_a", F.lit("x"))
+    sizes = {"round_pairs": 9000, "shard_pairs": 500, "branch_rows": 2000} if rounds else {}
+    made = alignment.align_texts(docs.repartition(5), alignment.tokenizer_files(), **sizes)
+    columns = [*alignment.FIGURES, *alignment.LOOKED_UP, "groups_sha256"]
+    got = {r.doc_id: tuple(r[c] for c in columns) for r in made.collect()}
+    want = dict(enumerate(aligned_by_force(texts)))
+    assert len(got) == len(texts) and {k: (texts[k], got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_alignment_rows(spark):
+    rows = alignment.align_texts(odd_documents(spark), alignment.tokenizer_files()).collect()
+    assert len(rows) == 8
+    by = {r.doc_id: r for r in rows}
+    assert by[1].groups_sha256 == "" == by[2].groups_sha256 and by[1].n_links == 0 and by[4].count_sum == by[None].count_sum > 0
+    assert alignment.align_texts(odd_documents(spark, True), alignment.tokenizer_files()).count() == 0
+    nothing = odd_documents(spark).filter("text is null")
+    assert [r.n_a for r in alignment.align_texts(nothing, alignment.tokenizer_files()).collect()] == [0]
+
+
+def test_perfect_hash_places_and_verifies():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000, 70_000):
+        keys = np.unique(rng.integers(0, 1 << 48, n))
+        words, starts, placed = alignment.build_hash(keys)
+        found = alignment.Places([(words, starts)]).find(keys, np.zeros(len(keys), np.int64))
+        assert sorted(found.tolist()) == list(range(len(keys))) and (placed[found] == keys).all()
+        other = np.setdiff1d(rng.integers(0, 1 << 48, 5000), keys)
+        at = alignment.Places([(words, starts)]).find(other, np.zeros(len(other), np.int64))
+        assert ((at < 0) | (placed[at] != other)).all() if n else (at < 0).all()
