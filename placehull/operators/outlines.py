@@ -10,13 +10,12 @@ from placehull.functions.coords import (
     BD09_TO_GCJ02,
     BD09MC_TO_BD09,
     GCJ02_TO_WGS84,
-    NAN,
     num,
     run_steps,
-    stage_cut,
 )
 from placehull.functions.rings import with_ring_numbers
 from placehull.functions.utm import to_utm
+from placehull.operators.ringkernel import MEASURES, ring_measures
 from placehull.options import MatchOptions
 
 
@@ -46,71 +45,16 @@ def attach_boundaries(accepted: DataFrame, boundaries: DataFrame) -> DataFrame:
     return joined.withColumn("called", F.coalesce("called", F.lit(False)))
 
 
-def edge_rows(df: DataFrame, keys: list[str], numbers: str = "numbers") -> DataFrame:
-    """One row per ring edge (x1, y1)-(x2, y2); rows without a ring keep one row of NaNs."""
-    last = F.floor(F.size(numbers) / 2).cast("int") - 2
-    index = F.when(F.col(numbers).isNotNull(), F.sequence(F.lit(0), last))
-    rows = df.select(*keys, numbers, F.explode_outer(index).alias("i"))
-
-    ends = {"x1": 0, "y1": 1, "x2": 2, "y2": 3}
-    return rows.selectExpr(
-        *keys, *[f"coalesce(get({numbers}, i * 2 + {k}), {NAN}) as {c}" for c, k in ends.items()]
-    )
-
-
-def project_edges(edges: DataFrame, zone: int) -> DataFrame:
-    """Mercator edge ends to wgs84 degrees (lng/lat) and UTM metres (e/n)."""
-    degrees = ["lng1", "lat1", "lng2", "lat2"]
-    ends = [(("x1", "y1"), ("lng1", "lat1")), (("x2", "y2"), ("lng2", "lat2"))]
-    edges = run_steps(edges, BD09MC_TO_BD09 + BD09_TO_GCJ02, ends).drop("x1", "y1", "x2", "y2")
-    edges = stage_cut(edges, degrees)
-    ends = [(("lng1", "lat1"),) * 2, (("lng2", "lat2"),) * 2]
-    edges = stage_cut(run_steps(edges, GCJ02_TO_WGS84, ends), degrees)
-    metres = [(("lng1", "lat1"), ("e1", "n1")), (("lng2", "lat2"), ("e2", "n2"))]
-    return to_utm(edges, metres, zone, cut=True)
-
-
 def measure_rings(
     df: DataFrame, key: str, carry: list[str], origin: tuple[str, str], zone: int
 ) -> DataFrame:
-    """Box (degrees), area and distance to ``origin`` (UTM columns) of each row's ring.
+    """Edges, box (degrees), area and distance to ``origin`` (UTM columns) of each row's ring.
 
-    Each ring is exploded in place and summed up by ``key`` again: with the key being the
-    partitioning of the input there is no shuffle, otherwise the sums combine map-side. The
-    ``carry`` columns travel as one struct, which keeps the code per edge short. All planar
-    sums are taken relative to the origin, which keeps the products small.
+    Row by row in Arrow batches (``ringkernel``): no shuffle, and it runs in a stream as well.
     """
-    packed = df.select(key, F.struct(*carry, *origin).alias("carry"), "numbers")
-    edges = project_edges(edge_rows(packed, [key, "carry"]), zone)
-    ox, oy = (f"coalesce(carry.{c}, {NAN})" for c in origin)
-    edges = edges.selectExpr(
-        key, "carry", "lng1", "lat1",
-        f"e1 - {ox} as ax", f"n1 - {oy} as ay", f"e2 - {ox} as bx", f"n2 - {oy} as by",
-    ).selectExpr("*", "bx - ax as dx", "by - ay as dy")
-    # t: foot of the perpendicular from the origin, clamped to the edge (0 on a null edge)
-    edges = edges.selectExpr(
-        "*",
-        "greatest(0D, least(1D, coalesce(-try_divide(ax * dx + ay * dy, dx * dx + dy * dy), 0D))) as t",
-    ).selectExpr("*", "ax + t * dx as px", "ay + t * dy as py")
-    edges = edges.selectExpr(
-        key, "carry", "lng1", "lat1",
-        "px * px + py * py as gap2",
-        "case when (ay > 0D) != (by > 0D) and ax - try_divide(ay * dx, dy) > 0D then 1 else 0 end as crosses",
-        "ax * by - bx * ay as cross2",
-    )
-    # no value where there is no ring or a vertex lies off every Mercator band
-    whole = "count_if(isnan(cross2)) = 0"
-    values = {
-        "edges": "count(*)",
-        "min_lng": "min(lng1)", "max_lng": "max(lng1)",
-        "min_lat": "min(lat1)", "max_lat": "max(lat1)",
-        "area_km2": "abs(sum(cross2)) / 2e6",
-        "distance_m": "case when sum(crosses) % 2 = 1 then 0D else sqrt(min(gap2)) end",
-    }
-    sums = edges.groupBy(key, "carry").agg(
-        *[F.expr(f"case when {whole} then {sql} end").alias(n) for n, sql in values.items()]
-    )
-    return sums.selectExpr(key, *[f"carry.{c} as {c}" for c in carry], *values)
+    found = ring_measures(zone)("numbers", *origin)
+    rows = df.select(key, *carry, found.alias("m"))
+    return rows.select(key, *carry, *[F.col(f"m.{c}").alias(c) for c in MEASURES])
 
 
 # --- bound used by drop_far_rings, see there ---
@@ -158,17 +102,23 @@ def drop_far_rings(df: DataFrame, numbers: str = "numbers") -> DataFrame:
 CARRIED = ["search_rank", "uid_name", "p_name", "p_lng", "p_lat", "called", "multi_part"]
 
 
-def aoi_metrics(attached: DataFrame, options: MatchOptions, prune: bool = True) -> DataFrame:
+def aoi_metrics(
+    attached: DataFrame, options: MatchOptions, prune: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per accepted candidate with its metrics; nulls where there is no usable ring.
 
+    ``keep``: further columns to hand on. Every step works row by row, in a batch or a stream.
+
     With ``prune`` rings that cannot hold the POI in their box get nulls as well: they are never
     valid, and most candidates of a search are of that kind.
     """
-    rows = with_ring_numbers(attached).drop("geo")
+    rows = with_ring_numbers(attached)
+    if "geo" not in keep:
+        rows = rows.drop("geo")
     if prune:
         rows = drop_far_rings(rows)
     rows = to_utm(rows, [(("p_lng", "p_lat"), ("p_e", "p_n"))], options.utm_zone)
-    sums = measure_rings(rows, "aoi_key", CARRIED, ("p_e", "p_n"), options.utm_zone)
+    sums = measure_rings(rows, "aoi_key", [*CARRIED, *keep], ("p_e", "p_n"), options.utm_zone)
     return sums.withColumns({
         "poi_id": F.col("aoi_key.poi_id"), "uid": F.col("aoi_key.uid"),
     }).drop("aoi_key")
