@@ -34,9 +34,13 @@ def category_matches(tag: Column, prim: Column, sec: Column) -> Column:
     return F.when(tag.isNull(), True).when(tag.contains(";"), pair).otherwise(plain)
 
 
-def judge_candidates(poi: DataFrame, decoded: DataFrame, options: MatchOptions) -> DataFrame:
+def judge_candidates(
+    poi: DataFrame, decoded: DataFrame, options: MatchOptions, keep: tuple[str, ...] = (), outer: bool = False
+) -> DataFrame:
     """All search results of the given POIs with the first rule they fail (null = accepted).
 
+    ``keep``: columns of ``decoded`` to hand on; ``outer``: responses without results keep a (failing) row.
+
     Responses are joined to their POI before the results are exploded, so the shuffle moves
     one compact row per response; adaptive skew handling may split a hot POI there because
     nothing above the join relies on its partitioning.
@@ -49,8 +53,8 @@ def judge_candidates(poi: DataFrame, decoded: DataFrame, options: MatchOptions)
         "prim_ind",
         "sec_ind",
     )
-    carry = ("p_name", "p_lng", "p_lat", "prim_ind", "sec_ind")
-    rows = flatten_results(decoded.join(side, "poi_id"), *carry)
+    carry = (*keep, "p_name", "p_lng", "p_lat", "prim_ind", "sec_ind")
+    rows = flatten_results(decoded.join(side, "poi_id"), *carry, outer=outer)
     rows = convert(rows, "bd09", "wgs84", "u_lng", "u_lat", ("__lng", "__lat"))
     away = haversine_km(F.col("__lng"), F.col("__lat"), F.col("p_lng"), F.col("p_lat"))
     rows = rows.withColumn("distance_km", away).drop("__lng", "__lat")

@@ -32,6 +32,23 @@ def gave_up(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     ).withColumn("gave_up", F.col("failures") > max_retries)
 
 
+def gave_up_requests(
+    manifest: DataFrame, log: DataFrame, window: Column, max_retries: int = MAX_RETRIES
+) -> DataFrame:
+    """Requests of a manifest that failed more often than retries are allowed: its poi_id and uid, and ``failures``.
+
+    ``manifest`` has request_id and issued_ts; the attempts of a request are the log rows of its id from issued_ts until
+    ``window`` (an interval) later, so an id may be issued again. Only failed attempts are joined, by id and
+    interval; sums are combined before they are shuffled by the request, so an id with very many attempts is split by
+    the join's skew handling.
+    """
+    failed = log.where(retryable(F.col("http_status"))).select(F.col("request_id").alias("__id"), F.col("ts").alias("__ts"))
+    mine = (F.col("__id") == F.col("request_id")) & (F.col("__ts") >= F.col("issued_ts")) & (F.col("__ts") < F.col("issued_ts") + window)
+    rows = manifest.select(F.struct("poi_id", "uid").alias("request"), "request_id", "issued_ts").join(failed, mine)
+    counts = rows.groupBy("request").agg(F.count("*").alias("failures"))
+    return counts.where(F.col("failures") > max_retries).select("request.poi_id", "request.uid", "failures")
+
+
 def first_good(log: DataFrame) -> DataFrame:
     """The earliest response of each request that needs no retry."""
     good = log.where(~retryable(F.col("http_status")))

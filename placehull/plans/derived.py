@@ -1,6 +1,6 @@
 """Places, responses and logs derived from the TPC-H-like test tables.
 
-The texts below run in Spark and in DuckDB, but for one expression; ``ctes`` strings them together.
+The texts below run in Spark and in DuckDB, but for one expression and a type's name; ``ctes`` strings them together.
 """
 
 from __future__ import annotations
@@ -60,9 +60,15 @@ from search_result where not (search_rank = 9 and poi_id % 6 = 0)
 select user_id as request_id, event_id, ts,
   case when event_type = 'error' then 503 when event_id % 11 = 0 then 403 when event_id % 13 = 0 then 404 else 200 end as http_status
 from events
+""",
+    "boundary_request": """
+select poi_id, uid, search_rank, (poi_id * 31 + search_rank * 7) % 150 as request_id,
+  cast(date '2024-01-01' + cast((poi_id * 17 + search_rank) % 25 as int) as NTZ) as issued_ts
+from search_result
 """,
 }
-#: The only text that differs: a list of any length in search order.
+#: The only texts that differ: a list of any length in search order.
+NTZ = {"duckdb": "timestamp", "spark": "timestamp_ntz"}
 ITEMS_BY_RANK = {
     "duckdb": "string_agg(item, ',' order by search_rank)",
     "spark": "array_join(transform(array_sort(collect_list(struct(search_rank, item))), x -> x.item), ',')",
@@ -73,15 +79,21 @@ NEEDS = {
     "search_response": ("poi", "search_result"),
     "boundary_response": ("poi", "search_result"),
     "fetch_log": (),
+    "boundary_request": ("poi", "search_result"),
 }
 BASE_TABLES = ("nation", "customer", "orders", "lineitem", "events")
 
 
+def cte(name: str, engine: str = "duckdb") -> str:
+    """``name as (...)`` of one view."""
+    text = VIEWS[name].strip().replace("ITEMS_BY_RANK", ITEMS_BY_RANK[engine])
+    return f"{name} as ({text.replace('as NTZ', f'as {NTZ[engine]}')})"
+
+
 def ctes(*views: str, engine: str = "duckdb") -> str:
     """``name as (...)`` items for the views and what they need, in dependency order."""
     wanted = {v for view in views for v in (*NEEDS[view], view)}
-    items = ITEMS_BY_RANK[engine]
-    return ",\n".join(f"{v} as ({VIEWS[v].strip().replace('ITEMS_BY_RANK', items)})" for v in VIEWS if v in wanted)
+    return ",\n".join(cte(v, engine) for v in VIEWS if v in wanted)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,18 +17,23 @@ from placehull.operators.validity import judge_aois
 from placehull.options import MatchOptions
 from placehull.session import stage
 from placehull.sources.poi import prepare_poi, unresolved
-from placehull.sources.responses import decode_boundaries, decode_search
+from placehull.sources.responses import decode_boundaries, decode_search, without_answer
 
 
 @dataclass
 class MatchJob:
-    """Lazily chained steps of one run; ``aois`` is the only staged table."""
+    """Lazily chained steps of one run; ``aois`` is the only staged table.
+
+    ``gave_up`` (poi_id, uid): boundary requests that will get no answer. They count as called, so that their POI can be
+    finished; a search that was given up leaves its POI open and needs no row.
+    """
 
     poi: DataFrame
     search: DataFrame
     boundaries: DataFrame
     options: MatchOptions
     hot_rows: int = HOT_ROWS
+    gave_up: DataFrame | None = None
 
     def __post_init__(self):
         self.prepared = unresolved(prepare_poi(self.poi, self.options))
@@ -36,6 +41,8 @@ class MatchJob:
         self.judged = judge_candidates(self.prepared, self.decoded, self.options)
         self.accepted = accept(self.judged, self.options)
         self.outlines = decode_boundaries(self.boundaries)
+        if self.gave_up is not None:
+            self.outlines = self.outlines.unionByName(without_answer(self.gave_up))
         self.attached = attach_boundaries(self.accepted, boundaries_once(self.outlines))
         self.measured = judge_aois(aoi_metrics(self.attached, self.options), self.options)
         self._aois: DataFrame | None = None

@@ -26,25 +26,27 @@ def status_class(status: Column) -> Column:
     )
 
 
-def decode_search(responses: DataFrame, body: str = "body") -> DataFrame:
-    """poi_id, service_status, status_class, results (parsed before any shuffle)."""
-    parsed = responses.select("poi_id", F.from_json(body, SEARCH_SCHEMA).alias("r"))
+def decode_search(responses: DataFrame, body: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
+    """poi_id, service_status, status_class, results (parsed before any shuffle); batch or stream."""
+    parsed = responses.select("poi_id", *carry, F.from_json(body, SEARCH_SCHEMA).alias("r"))
     return parsed.select(
         "poi_id",
+        *carry,
         F.col("r.status").alias("service_status"),
         status_class(F.col("r.status")).alias("status_class"),
         F.col("r.results").alias("results"),
     )
 
 
-def flatten_results(decoded: DataFrame, *carry: str) -> DataFrame:
+def flatten_results(decoded: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
     """One row per search result; ``search_rank`` counts from 1 before any filter.
 
-    Refused responses yield nothing by way of a null array: a filter on the status would be
+    ``outer``: a response without results keeps one row, with nulls. Refused responses yield nothing by way of a null array: a filter on the status would be
     pushed to the scan and parse every body a second time.
     """
     results = F.when(F.col("status_class") == "ok", F.col("results"))
-    rows = decoded.select("poi_id", *carry, F.posexplode(results).alias("pos", "r"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    rows = decoded.select("poi_id", *carry, explode(results).alias("pos", "r"))
     return rows.select(
         "poi_id",
         *carry,
@@ -57,9 +59,16 @@ def flatten_results(decoded: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def decode_boundaries(responses: DataFrame, body: str = "body") -> DataFrame:
+def decode_boundaries(responses: DataFrame, body: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
     """poi_id, uid, geo (null when the response has none), multi_part."""
     geo = F.get_json_object(body, "$.content.geo")
-    return responses.select("poi_id", "uid", geo.alias("geo")).withColumn(
+    return responses.select("poi_id", "uid", *carry, geo.alias("geo")).withColumn(
         "multi_part", is_multi_part(F.col("geo"))
     )
+
+
+def without_answer(requests: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Boundary requests that were given up, as decoded responses without an outline: called, and no candidate."""
+    return requests.select(
+        "poi_id", "uid", *carry, F.lit(None).cast("string").alias("geo"), F.lit(False).alias("multi_part")
+    )
