@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle import geometry as g
 from placehull.options import VAR, MatchOptions
-from placehull.plans.derived import ctes
+from placehull.plans.derived import cte, ctes
 from placehull.plans.queries import (
     BY_ROW,
     FLUSH_INTERVAL,
@@ -187,15 +187,22 @@ put("geojson_features", ALL_VERTS,
 
 
 # --- validity, ranks, best area ---
-def measured(options: MatchOptions) -> list[str]:
-    """aois: accepted candidates with metrics, similarity and validity.
+#: requests with more than three failed attempts within five days
+GONE = """gone as (select r.poi_id, r.uid, count(*) as failures from boundary_request r join fetch_log l on l.request_id = r.request_id
+  and l.ts >= r.issued_ts and l.ts < r.issued_ts + interval 5 day
+ where l.http_status in (500, 502, 503, 504, 522, 524, 408, 403, 400, 302, 301) group by r.poi_id, r.uid having count(*) > 3)"""
+
+
+def measured(options: MatchOptions, gave_up: bool = False) -> list[str]:
+    """aois: accepted candidates with metrics, similarity and validity; with ``gave_up`` table gone counts as called.
 
     Every candidate name here is its POI's name or that name with a suffix, so the longest
     common block is the whole POI name and the similarity has a closed form.
     """
     floor = f"and similarity >= {options.min_similarity}" if options.sort_by_similarity else ""
-    return accepted(options) + [
-        """att as (select a.*, b.poi_id is not null as called, b.body from accepted a
+    gone = "or exists (select 1 from gone g where g.poi_id = a.poi_id and g.uid = a.uid)" if gave_up else ""
+    return accepted(options) + ([cte("boundary_request"), cte("fetch_log"), GONE] if gave_up else []) + [
+        f"""att as (select a.*, b.poi_id is not null {gone} as called, b.body from accepted a
   left join boundary_response b on b.poi_id = a.poi_id and b.uid = a.uid)""",
         *vertices("att"),
         "pts as (select distinct poi_id, p_lng, p_lat from att)",
@@ -208,7 +215,7 @@ def measured(options: MatchOptions) -> list[str]:
     ]
 
 
-def ranked(options: MatchOptions) -> list[str]:
+def ranked(options: MatchOptions, gave_up: bool = False) -> list[str]:
     keys = {
         "search_rank": "search_rank",
         "area": f"round(area_km2, 9) * {options.sort_by_area}",
@@ -219,7 +226,7 @@ def ranked(options: MatchOptions) -> list[str]:
         f"row_number() over (partition by poi_id order by {keys[s]}, search_rank, uid) - 1 as rank_{s}"
         for s in options.enabled_sorts)
     mean = " + ".join(f"rank_{s}" for s in options.enabled_sorts)
-    return measured(options) + [
+    return measured(options, gave_up) + [
         f"ranked as (select *, {ranks} from aois where valid)",
         f"scored as (select *, ({mean}) / {float(len(options.enabled_sorts))} as score from ranked)",
         "best as (select * from scored qualify row_number() over (partition by poi_id order by score, search_rank, uid) = 1)",
@@ -264,6 +271,10 @@ STATUS = [
  from poi p left join counts c on c.poi_id = p.poi_id where p.prior_status is null)""",
 ]
 put("completion", measured(NO_NAMES) + [COUNTS], "select *, called = accepted as complete from counts")
+put("gave_up_requests", [ctes("boundary_request", "fetch_log"), GONE], "select * from gone")
+put("completion_given_up", measured(NO_NAMES, True) + [COUNTS], "select *, called = accepted as complete from counts")
+put("match_status_given_up", measured(NO_NAMES, True) + STATUS,
+    "select poi_id, answered, accepted, called, valid, status from st")
 put("match_status", measured(NO_NAMES) + STATUS,
     "select poi_id, answered, accepted, called, valid, status from st")
 RESULT = ranked(NO_NAMES) + STATUS + [
@@ -360,3 +371,20 @@ from st left join best b on b.poi_id = st.poi_id where st.status in ('Matched',
 put("stream_throughput", [ctes("fetch_log")],
     """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, count(*) as n
 from fetch_log group by 1""")
+# both response streams and given-up requests: the state of each open POI, what was saved, and the last progress line
+STREAMED = ranked(NO_NAMES, True) + STATUS
+put("stream_match", STREAMED,
+    """select st.poi_id, st.answered, st.accepted, st.called, st.valid, st.status, b.uid, b.uid_name, cast(b.search_rank as integer) as search_rank,
+  round(b.score, 6) as score from st left join best b on b.poi_id = st.poi_id and st.status = 'Matched'""")
+put("stream_saved", STREAMED + [
+    "won as (select st.*, b.uid, b.uid_name from st left join best b on b.poi_id = st.poi_id and st.status = 'Matched')",
+    """pts2 as (select poi_id, uid, cast(count(*) as integer) as points from verts semi join won using (poi_id, uid) group by poi_id, uid)""",
+], """select w.poi_id, w.status, w.uid_name, k.points from won w
+left join pts2 k on k.poi_id = w.poi_id and k.uid = w.uid where w.status is not null""")
+put("stream_progress", STREAMED + [
+    """h as (select cast(sum(called) as bigint) as calls, count(*) filter (where status = 'Matched') as matched, count(*) filter (where status = 'No Uid') as no_uid,
+  count(*) filter (where status = 'No Geometry') as no_geometry, count(status) as resolved, count(*) as total from st)""",
+    """sp as (select 60.0 * (max(poi_id % 600) - min(poi_id % 600)) as s from st)""",
+], f"""select calls, matched, no_uid, no_geometry, resolved,
+  concat(matched, '/', no_uid, '/', no_geometry, '/', total, ' | ', resolved, ' (', printf('%.2f', 100.0 * resolved / total), '%)') as progress,
+  {duration('s')} as elapsed from h, sp""")

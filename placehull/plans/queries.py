@@ -413,6 +413,36 @@ def completion(spark, sf):
     return counts.withColumn("complete", status.is_complete())
 
 
+def _given_up(spark, sf) -> DataFrame:
+    """Boundary requests that failed more than three times within five days of being issued."""
+    requests = captured(spark, sf, "boundary_request")
+    window = F.expr("interval '5' day")
+    return fetchlog.gave_up_requests(requests, view(spark, sf, "fetch_log"), window)
+
+
+@query
+def gave_up_requests(spark, sf):
+    return _given_up(spark, sf)
+
+
+def _job_with_given_up(spark, sf) -> MatchJob:
+    return replace(match_job(spark, sf), gave_up=_given_up(spark, sf))
+
+
+@query
+def completion_given_up(spark, sf):
+    """Completion where a request that was given up counts as called."""
+    counts = status.completion(_job_with_given_up(spark, sf).measured)
+    return counts.withColumn("complete", status.is_complete())
+
+
+@query
+def match_status_given_up(spark, sf):
+    return _job_with_given_up(spark, sf).status().select(
+        "poi_id", "answered", "accepted", "called", "valid", "status"
+    )
+
+
 @query
 def match_status(spark, sf):
     return match_job(spark, sf).status().select(
@@ -597,3 +627,93 @@ def stream_throughput(spark, sf):
     stream.start(counts, folder).awaitTermination()
     rows = stream.latest(spark.read.parquet(f"{folder}/windows"))
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
+
+
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def captured_streams(spark: SparkSession, sf: str, folder: str) -> dict[str, DataFrame]:
+    """The response views with arrival times, as streams over files; given-up requests are told an hour after the search.
+
+    A search answer of POI p comes in minute p % 600, its boundary answers a minute apart after it.
+    """
+    from placehull.streaming import matching as stream
+
+    minute = F.col("poi_id") % 600
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+
+    def at(minutes: Column) -> Column:
+        return (start + F.make_dt_interval(mins=minutes.cast("int"))).alias("ts")
+
+    tables = {
+        "searches": (captured(spark, sf, "search_response").select("poi_id", at(minute), "body"), stream.SEARCH_SCHEMA),
+        "boundaries": (
+            captured(spark, sf, "boundary_response").select("poi_id", "uid", at(minute + F.col("search_rank")), "body"),
+            stream.BOUNDARY_SCHEMA,
+        ),
+        "given_up": (_given_up(spark, sf).select("poi_id", "uid", at(minute + 60)), stream.GIVEN_UP_SCHEMA),
+    }
+    out = {}
+    for name, (rows, schema) in tables.items():
+        rows.repartition(4, "poi_id").write.parquet(f"{folder}/{name}")
+        out[name] = stream.read_stream(spark, f"{folder}/{name}", schema, files_per_trigger=2)
+    return out
+
+
+def _streamed(spark: SparkSession, sf: str) -> str:
+    """Folder of one drained run of the streaming job; the queries below read what it left."""
+    from placehull.streaming import ledger
+    from placehull.streaming import matching as stream
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        folder = scratch_path(spark, "stream_match")
+        sources = captured_streams(spark, sf, folder)
+        poi = unresolved(prepare_poi(poi_table(spark, sf), NO_NAMES))
+        changes = stream.changes(poi, options=NO_NAMES, wait="24 hours", late="24 hours", **sources)
+        ledger.start(changes, poi, folder, FLUSH_INTERVAL).awaitTermination()
+        ledger.close(spark, poi, folder)
+        _RUNS[key] = folder
+    return _RUNS[key]
+
+
+@query
+def stream_match(spark, sf):
+    """Search and boundary responses and given-up requests as streams: the state of every open POI."""
+    from placehull.streaming import ledger
+
+    found = ledger.results(spark, _streamed(spark, sf)).drop("geo", "ts", "batch_id")
+    poi = unresolved(prepare_poi(poi_table(spark, sf), NO_NAMES)).select("poi_id")
+    return poi.join(found, "poi_id", "left").select(
+        "poi_id", "answered", "accepted", "called", "valid", "status", "uid", "uid_name", "search_rank", rounded("score")
+    )
+
+
+@query
+def stream_saved(spark, sf):
+    """The CSV files of all saved pairs, newest row per POI, geometry decoded."""
+    from placehull.streaming import ledger
+
+    folders = ledger.saved_folders(spark, _streamed(spark, sf))
+    header = ["poi_id", "status", "uid_name", "geometry", "save"]
+    parts = None
+    for k, folder in enumerate(folders):
+        rows = spark.read.csv(f"{folder}/poi_csv", header=True, quote='"', escape='"')
+        rows = rows.select(F.col("poi_id").cast("long"), "status", "uid_name", "geometry", F.lit(k).alias("save"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    last = parts.groupBy("poi_id").agg(F.max("save").alias("save"))
+    rows = parts.select(*header).join(last, ["poi_id", "save"]).filter("status is not null")
+    return rows.select("poi_id", "status", "uid_name", F.size(wkt_to_ring(F.col("geometry"))).alias("points"))
+
+
+@query
+def stream_progress(spark, sf):
+    """The last line the running job reports: calls, counts and progress text."""
+    from placehull.streaming import ledger
+
+    folder = _streamed(spark, sf)
+    poi = unresolved(prepare_poi(poi_table(spark, sf), NO_NAMES))
+    n = poi.count()
+    lines = ledger.progress(spark, folder, n, n)
+    last = lines.agg(F.max("saves").alias("saves"))
+    return lines.join(last, "saves").select("calls", "matched", "no_uid", "no_geometry", "resolved", "progress", "elapsed")
