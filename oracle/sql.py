@@ -288,6 +288,12 @@ left join wkt k on k.poi_id = w.poi_id and k.uid = w.uid""")
 put("csv_roundtrip", RESULT,
     """select w.poi_id, w.name, round(w.lng, 6) as lng, round(w.lat, 6) as lat, w.status, w.uid_name, k.points
 from won w left join wkt k on k.poi_id = w.poi_id and k.uid = w.uid""")
+put("resumed_results", RESULT, "select poi_id, status, uid_name from won")
+put("rings_in_box", ALL_VERTS,
+    """select * from (select poi_id, uid, min(round(lng, 6)) as min_lng, min(round(lat, 6)) as min_lat, max(round(lng, 6)) as max_lng,
+  max(round(lat, 6)) as max_lat from verts group by poi_id, uid)
+where min_lng <= 116.45 and max_lng >= 116.30 and min_lat <= 39.95 and max_lat >= 39.80""")
+put("numbered_csv", [ctes("poi")], "select row_number() over (order by poi_id) - 1 as poi_id, name from poi")
 FINAL = measured(NO_NAMES) + STATUS + [
     """fin as (select p.poi_id, coalesce(p.prior_status, st.status) as status
  from poi p left join st on st.poi_id = p.poi_id)""",

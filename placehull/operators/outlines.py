@@ -46,13 +46,13 @@ def attach_boundaries(accepted: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def measure_rings(
-    df: DataFrame, key: str, carry: list[str], origin: tuple[str, str], zone: int
+    df: DataFrame, key: str, carry: list[str], origin: tuple[str, str], zone: int, with_distance: bool = True
 ) -> DataFrame:
     """Edges, box (degrees), area and distance to ``origin`` (UTM columns) of each row's ring.
 
     Row by row in Arrow batches (``ringkernel``): no shuffle, and it runs in a stream as well.
     """
-    found = ring_measures(zone)("numbers", *origin)
+    found = ring_measures(zone, with_distance)("numbers", *origin)
     rows = df.select(key, *carry, found.alias("m"))
     return rows.select(key, *carry, *[F.col(f"m.{c}").alias(c) for c in MEASURES])
 
@@ -107,7 +107,7 @@ def aoi_metrics(
 ) -> DataFrame:
     """One row per accepted candidate with its metrics; nulls where there is no usable ring.
 
-    ``keep``: further columns to hand on. Every step works row by row, in a batch or a stream.
+    The distance is measured only when that sort is on. ``keep``: further columns to hand on. Every step works row by row, in a batch or a stream.
 
     With ``prune`` rings that cannot hold the POI in their box get nulls as well: they are never
     valid, and most candidates of a search are of that kind.
@@ -118,7 +118,7 @@ def aoi_metrics(
     if prune:
         rows = drop_far_rings(rows)
     rows = to_utm(rows, [(("p_lng", "p_lat"), ("p_e", "p_n"))], options.utm_zone)
-    sums = measure_rings(rows, "aoi_key", [*CARRIED, *keep], ("p_e", "p_n"), options.utm_zone)
+    sums = measure_rings(rows, "aoi_key", [*CARRIED, *keep], ("p_e", "p_n"), options.utm_zone, "distance" in options.enabled_sorts)
     return sums.withColumns({
         "poi_id": F.col("aoi_key.poi_id"), "uid": F.col("aoi_key.uid"),
     }).drop("aoi_key")

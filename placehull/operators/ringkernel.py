@@ -91,7 +91,21 @@ def wgs84_to_utm(lng: np.ndarray, lat: np.ndarray, meridian: float) -> Points:
     return FALSE_EASTING + k * bent.imag, k * bent.real
 
 
-def measure(values: np.ndarray, offsets: np.ndarray, e0: np.ndarray, n0: np.ndarray, meridian: float) -> dict[str, np.ndarray]:
+def _distance(ax: np.ndarray, ay: np.ndarray, dx: np.ndarray, dy: np.ndarray, by: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """From the origin to each ring (edges from ``at`` on): 0 inside, else to the nearest edge."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        foot = -(ax * dx + ay * dy) / (dx * dx + dy * dy)
+        crossing = ax - ay * dx / dy
+    foot = np.clip(np.nan_to_num(foot, nan=0.0), 0.0, 1.0)
+    gap = np.hypot(ax + foot * dx, ay + foot * dy)
+    crosses = ((ay > 0) != (by > 0)) & (crossing > 0)
+    inside = np.add.reduceat(crosses.astype(np.int64), at) % 2 == 1
+    return np.where(inside, 0.0, np.minimum.reduceat(gap, at))
+
+
+def measure(
+    values: np.ndarray, offsets: np.ndarray, e0: np.ndarray, n0: np.ndarray, meridian: float, with_distance: bool = True
+) -> dict[str, np.ndarray]:
     """Figures of closed rings: ``values`` x1, y1, x2, y2, ..., ring i between ``offsets`` i and i + 1, distance to (e0, n0).
 
     NaN where a vertex lies off every Mercator band; a ring has two vertices or more.
@@ -108,22 +122,18 @@ def measure(values: np.ndarray, offsets: np.ndarray, e0: np.ndarray, n0: np.ndar
     ax, ay, bx, by = east[first], north[first], east[first + 1], north[first + 1]
     dx, dy = bx - ax, by - ay
     area = np.abs(np.add.reduceat(ax * by - bx * ay, at)) / 2e6
-    with np.errstate(divide="ignore", invalid="ignore"):
-        foot = -(ax * dx + ay * dy) / (dx * dx + dy * dy)
-        crossing = ax - ay * dx / dy
-    foot = np.clip(np.nan_to_num(foot, nan=0.0), 0.0, 1.0)
-    gap = np.hypot(ax + foot * dx, ay + foot * dy)
-    crosses = ((ay > 0) != (by > 0)) & (crossing > 0)
-    inside = np.add.reduceat(crosses.astype(np.int64), at) % 2 == 1
-    distance = np.where(inside, 0.0, np.minimum.reduceat(gap, at))
+    distance = _distance(ax, ay, dx, dy, by, at) if with_distance else np.full(len(starts), np.nan)
     whole = ~np.isnan(area)
     edges = (ends - starts - 1).astype(np.float64)
     columns = [edges, *box, area, distance]
     return {name: np.where(whole, v, np.nan) for name, v in zip(MEASURES, columns)}
 
 
-def ring_measures(zone: int) -> Callable:
-    """Column function (numbers, e, n) -> struct of ``MEASURES``; null without a ring or off the bands."""
+def ring_measures(zone: int, with_distance: bool = True) -> Callable:
+    """Column function (numbers, e, n) -> struct of ``MEASURES``; null without a ring or off the bands.
+
+    The distance is null as well where it is not asked for.
+    """
     meridian = central_meridian(zone)
     kinds = pa.struct([(n, pa.int64() if k == "bigint" else pa.float64()) for n, k in zip(MEASURES, KINDS)])
 
@@ -136,13 +146,14 @@ def ring_measures(zone: int) -> Callable:
         offsets = np.asarray(rings.offsets).astype(np.int64)
         values = np.asarray(rings.values)[offsets[0] : offsets[-1]]
         e0, n0 = (np.asarray(c.fill_null(np.nan), np.float64)[there] for c in (e, n))
-        found = measure(values, offsets - offsets[0], e0, n0, meridian)
+        found = measure(values, offsets - offsets[0], e0, n0, meridian, with_distance)
         good = ~np.isnan(found["area_km2"])
         out = []
         for name, kind in zip(MEASURES, KINDS):
             column = np.zeros(len(numbers))
             column[there] = np.nan_to_num(found[name])
-            out.append(pa.array(column.astype(np.int64) if kind == "bigint" else column))
+            none = np.ones(len(numbers), bool) if name == "distance_m" and not with_distance else None
+            out.append(pa.array(column.astype(np.int64) if kind == "bigint" else column, mask=none))
         mask = np.ones(len(numbers), bool)
         mask[np.flatnonzero(there)[good]] = False
         return pa.StructArray.from_arrays(out, fields=list(kinds), mask=pa.array(mask))

@@ -22,7 +22,7 @@ from placehull.sources.responses import decode_boundaries, decode_search, withou
 
 @dataclass
 class MatchJob:
-    """Lazily chained steps of one run; ``aois`` is the only staged table.
+    """Lazily chained steps of one run; ``aois`` and ``winners`` are its staged tables.
 
     ``gave_up`` (poi_id, uid): boundary requests that will get no answer. They count as called, so that their POI can be
     finished; a search that was given up leaves its POI open and needs no row.
@@ -46,6 +46,7 @@ class MatchJob:
         self.attached = attach_boundaries(self.accepted, boundaries_once(self.outlines))
         self.measured = judge_aois(aoi_metrics(self.attached, self.options), self.options)
         self._aois: DataFrame | None = None
+        self._winners: DataFrame | None = None
 
     @property
     def aois(self) -> DataFrame:
@@ -63,6 +64,13 @@ class MatchJob:
     def best(self) -> DataFrame:
         return best_per_poi(self.scored(), "uid_name")
 
+    @property
+    def winners(self) -> DataFrame:
+        """``best``, ranked and written once: outlines and the written-back result read it."""
+        if self._winners is None:
+            self._winners = stage(self.best(), "winners")
+        return self._winners
+
     def status(self) -> DataFrame:
         return poi_status(self.prepared, self.decoded, completion(self.aois))
 
@@ -72,14 +80,12 @@ class MatchJob:
         Outlines of the winners are looked up by key again instead of being carried through
         the ranking; the join keeps one narrow row per POI on its other side.
         """
-        best = self.best().withColumn("aoi_key", F.struct("poi_id", "uid"))
-        found = best.select("aoi_key").join(
-            boundaries_once(self.outlines.join(best.select("poi_id", "uid"), ["poi_id", "uid"], "left_semi")),
-            "aoi_key",
+        answers = boundaries_once(self.outlines.join(self.winners.select("poi_id", "uid"), ["poi_id", "uid"]))
+        rings = rings_wgs84(answers, ["aoi_key"]).select(
+            F.col("aoi_key.poi_id").alias("poi_id"), F.col("ring").alias("geometry")
         )
-        rings = rings_wgs84(found, ["aoi_key"]).withColumnRenamed("ring", "geometry")
-        return best.join(rings, "aoi_key").drop("aoi_key")
+        return self.winners.join(rings, "poi_id")
 
     def result(self, with_geometry: bool = True) -> DataFrame:
-        best = self.winners_with_rings() if with_geometry else self.best()
+        best = self.winners_with_rings() if with_geometry else self.winners
         return write_back(self.status(), best)

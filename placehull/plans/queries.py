@@ -25,7 +25,7 @@ from placehull.options import PRESETS, VAR, MatchOptions
 from placehull.plans.derived import view
 from placehull.plans.match import MatchJob
 from placehull.session import scratch_path, stage
-from placehull.sources import manifests, sinks
+from placehull.sources import manifests, resulttable, sinks, spatial
 from placehull.sources.poi import prepare_poi, read_poi_csv, unresolved, without_resolved
 from placehull.sources.responses import (
     decode_boundaries,
@@ -585,6 +585,38 @@ def csv_roundtrip(spark, sf):
     )
 
 
+@query
+def rings_in_box(spark, sf):
+    """Outlines through the clustered parquet sink, read back by a box around the middle of the points."""
+    folder = scratch_path(spark, "outlines")
+    spatial.write_outlines(_rounded_rings(spark, sf).withColumnRenamed("ring", "geometry"), folder, row_group=1 << 16)
+    rows = spatial.outlines_in_box(spark, folder, 116.30, 39.80, 116.45, 39.95)
+    return rows.select("poi_id", "uid", *spatial.BOX)
+
+
+@query
+def numbered_csv(spark, sf):
+    """POIs through CSV files without ids: a dense number by file and line, whatever the splits."""
+    folder = scratch_path(spark, "numbered_csv")
+    poi = view(spark, sf, "poi").select("poi_id", "name", "lng", "lat")
+    poi.repartitionByRange(3, "poi_id").sortWithinPartitions("poi_id").drop("poi_id").write.csv(folder, header=True)
+    return read_poi_csv(spark, folder).select("poi_id", "name")
+
+
+@query
+def resumed_results(spark, sf):
+    """Two runs into one result table: first with the answers of the first five ranks, then the POIs left open."""
+    folder = scratch_path(spark, "result_table")
+    job = match_job(spark, sf)
+    few = captured(spark, sf, "boundary_response").where("search_rank <= 5")
+    first = replace(job, boundaries=few).result(with_geometry=False).select("poi_id", "status", "uid_name")
+    resulttable.create(first, folder, buckets=16)
+    rest = resulttable.still_open(poi_table(spark, sf), resulttable.read(spark, folder))
+    second = replace(job, poi=rest).result(with_geometry=False).select("poi_id", "status", "uid_name")
+    resulttable.upsert(second.where("status is not null"), folder, buckets=16)
+    return resulttable.read(spark, folder)
+
+
 # --- streaming ------------------------------------------------------------------------------
 
 

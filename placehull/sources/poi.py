@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placehull.functions.coords import convert
 from placehull.functions.rings import wkt_to_ring
 from placehull.options import VAR, MatchOptions
+from placehull.session import stage
 
 PointTransform = Callable[[Column, Column], tuple[Column, Column]]
 POI_FIELDS = {
@@ -29,19 +30,35 @@ RESULT_COLUMNS = {
 def read_poi_csv(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
     """Scan a UTF-8 CSV with a header line; known columns get their declared types.
 
-    ``header`` spares the one-line look at the file. A file without ``poi_id`` gets one from
-    the row's place in the scan; write the result back with it so that later runs agree.
+    ``header`` spares the one-line look at the file. Files without ``poi_id`` get one by ``with_row_ids``.
     """
     options = dict(header=True, quote='"', escape='"', encoding="UTF-8", enforceSchema=False)
     if header is None:
         header = spark.read.options(**options).csv(path).columns
-    schema = T.StructType(
-        [T.StructField(c, T._parse_datatype_string(POI_FIELDS.get(c, "string"))) for c in header]
-    )
+    schema = T.StructType([T.StructField(c, T.DataType.fromDDL(POI_FIELDS.get(c, "string"))) for c in header])
     df = spark.read.schema(schema).options(**options).csv(path)
-    if "poi_id" not in header:
-        df = df.withColumn("poi_id", F.monotonically_increasing_id())
-    return df
+    return df if "poi_id" in header else with_row_ids(df)
+
+
+def with_row_ids(df: DataFrame, name: str = "poi_id") -> DataFrame:
+    """Number the rows of a file scan 0, 1, 2, ... by file and place in it.
+
+    The ids depend on the files alone, not on how the scan splits them: rows of a split come in file order, so a row's
+    id is the number of rows in the splits before its own plus its place in it. Rows are written once; what is
+    numbered over the whole table is one row per split.
+    """
+    split = (F.col("__file"), F.col("__start"))
+    rows = df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__at"),
+    )
+    rows = stage(rows, "rows")
+    splits = rows.groupBy(*split).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(*split, "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = rows.join(splits, ["__file", "__start"])
+    numbered = numbered.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first"))
+    return numbered.select(*df.columns, name)
 
 
 def check_columns(df: DataFrame, options: MatchOptions) -> DataFrame:
