@@ -349,6 +349,7 @@ put("circular_search", [ctes("search_result"),
     f"""select poi_id, place_id, round(d, 6) as distance_km from (
   select p.poi_id, place_id, {g.haversine('p.lng', 'p.lat', 'x', 'y')} as d from poi p, pl)
 where d <= {SEARCH_RADIUS_M / 1000}""")
+ORACLES["circular_search_stored"] = ORACLES["circular_search"]
 RETRY = "(500, 502, 503, 504, 522, 524, 408, 403, 400, 302, 301)"
 put("retry_attempts", [ctes("fetch_log")],
     f"""select request_id, event_id, row_number() over (partition by request_id order by ts, event_id) as attempt,

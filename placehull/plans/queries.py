@@ -17,7 +17,7 @@ from placehull.functions.rings import (
     wkt_to_ring,
 )
 from placehull.functions.utm import to_utm
-from placehull.operators import fetchlog, nearby, ranking, reports, status
+from placehull.operators import fetchlog, gazetteer, nearby, ranking, reports, status
 from placehull.operators.candidates import accept, judge_candidates, passed
 from placehull.operators.outlines import aoi_metrics, measure_rings
 from placehull.operators.validity import box_contains, judge_aois
@@ -537,6 +537,21 @@ def circular_search(spark, sf):
     return pairs.select("poi_id", "place_id", rounded("distance_km"))
 
 
+@query
+def circular_search_stored(spark, sf):
+    """The same search over a stored gazetteer in tiles of at most 500 places."""
+    folder = scratch_path(spark, "gazetteer")
+    places = captured(spark, sf, "search_result").select(
+        F.concat_ws("/", F.col("poi_id").cast("string"), "uid").alias("place_id"),
+        F.col("u_lng").cast("double").alias("lng"),
+        F.col("u_lat").cast("double").alias("lat"),
+    )
+    gazetteer.write_gazetteer(places, folder, tile_rows=500)
+    poi = prepare_poi(poi_table(spark, sf), BY_ROW)
+    pairs = gazetteer.search_stored(spark, folder, poi, SEARCH_RADIUS_M)
+    return pairs.select("poi_id", "place_id", rounded("distance_km"))
+
+
 @query
 def retry_attempts(spark, sf):
     return fetchlog.attempts(view(spark, sf, "fetch_log")).select(
