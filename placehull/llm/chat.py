@@ -9,7 +9,7 @@ Template: ``<|im_start|>role LF text<|im_end|> LF`` per turn. Inside roles and t
 control strings are broken by ``\\.`` after their first character, line feeds of roles are ``\\,``; reading back undoes it.
 
 A path is one output row, so its messages meet in one row; nothing else is gathered per tree.
-Nulls and ties: null texts and roles count as empty; messages whose parent is null or missing from the tree are roots; a message of a parent cycle has
+Nulls and ties: a null tree is a tree of its own; a row without a message id is no message; null texts and roles count as empty; messages whose parent is null or missing from the tree are roots; a message of a parent cycle has
 no root and belongs to no path; equal scores rank by leaf id. Rows with one (tree, message) id are one message: the
 least (role, text) is used. An empty table gives no conversations. Other columns of the input are ignored.
 """
@@ -50,22 +50,35 @@ def best_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
 
     ``keep``: branches per tree, best score first; all by default.
     """
+    return _paths(_keyed(messages), keep).withColumn("tree", F.col("tree.tree"))
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The tree as a struct: joins then match a null tree with itself."""
+    return messages.filter("node is not null").withColumn("tree", F.struct("tree"))
+
+
+def _paths(messages: DataFrame, keep: int | None) -> DataFrame:
+    """``best_paths`` over keyed trees. Each round of either loop is written, so plans do not grow with the depth."""
     nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     nodes = stage(nodes, "nodes")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = nodes.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
     # up: the ancestor 2 ** k steps above, null past the root; sum: scores of the messages passed, own included
-    step = linked.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
-    steps = [stage(step, "steps")]
-    open_before, still = None, steps[0].filter("up is not null").count()
+    first = linked.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
+    first = stage(first, "steps")
+    # Only messages that have not met their root go on to the next round, so rounds shrink as conversations end.
+    done, steps = first.filter("up is null"), [first.filter("up is not null")]
+    open_before, still = None, steps[0].count()
     while still and still != open_before:  # a round that closes none has met nothing but cycles
         here = steps[-1]
-        above = here.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("depth").alias("d2"))
-        both = here.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-        total, depth = F.col("sum") + F.coalesce("s2", F.lit(0.0)), F.col("depth") + F.coalesce("d2", F.lit(0))
-        steps.append(stage(both.select("tree", "node", F.col("up2").alias("up"), total.alias("sum"), depth.alias("depth")), "steps"))
-        open_before, still = still, steps[-1].filter("up is not null").count()
-    done = steps[-1].filter("up is null")  # what is left has no root
+        above = here.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("depth").alias("d2"))
+        both = here.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        both = both.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("s2")).alias("sum"), (F.col("depth") + F.col("d2")).alias("depth"))
+        both = stage(both, "steps")
+        done = done.unionByName(both.filter("up is null"))
+        steps.append(both.filter("up is not null"))
+        open_before, still = still, steps[-1].count()
     parents = linked.filter("p is not null").select("tree", F.col("p").alias("node")).distinct()
     leaves = done.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("sum").alias("score"), "depth")
     if keep is not None:
@@ -76,7 +89,7 @@ def best_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
         jump = steps[k].select("tree", "node", "up")
         higher = paths.join(jump, ["tree", "node"]).filter("up is not null")
         higher = higher.select("tree", "leaf", "score", "depth", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above"))
-        paths = paths.unionByName(higher)
+        paths = stage(paths.unionByName(higher), "paths")
     return paths.select("tree", "leaf", "score", (F.col("depth") - 1 - F.col("above")).alias("pos"), "node")
 
 
@@ -104,12 +117,13 @@ def format_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
 
     loss_spans are [start, stop) in code points of ``formatted``, over the escaped assistant texts.
     """
-    paths = best_paths(messages, keep)
+    tree, leaf = (messages.schema[c].dataType.simpleString() for c in ("tree", "node"))
+    messages = _keyed(messages)
+    paths = _paths(messages, keep)
     said = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("said"))
     turns = paths.join(said, ["tree", "node"]).select("tree", "leaf", "score", F.struct("pos", "said.role", "said.text").alias("turn"))
     turns = turns.groupBy("tree", "leaf").agg(F.first("score").alias("score"), F.sort_array(F.collect_list("turn")).alias("turns"))
-    tree, leaf = (messages.schema[c].dataType.simpleString() for c in ("tree", "node"))
-    return turns.mapInArrow(
+    return turns.withColumn("tree", F.col("tree.tree")).mapInArrow(
         _formatted, f"tree {tree}, leaf {leaf}, score double, formatted string, loss_spans array<struct<start: bigint, stop: bigint>>"
     )
 
