@@ -132,7 +132,8 @@ def measure(
 def ring_measures(zone: int, with_distance: bool = True) -> Callable:
     """Column function (numbers, e, n) -> struct of ``MEASURES``; null without a ring or off the bands.
 
-    The distance is null as well where it is not asked for.
+    The distance is null as well where it is not asked for. It is declared nondeterministic, so that filters on its figures stay
+    above it instead of being pushed down with a copy of it and of all steps below.
     """
     meridian = central_meridian(zone)
     kinds = pa.struct([(n, pa.int64() if k == "bigint" else pa.float64()) for n, k in zip(MEASURES, KINDS)])
@@ -158,4 +159,4 @@ def ring_measures(zone: int, with_distance: bool = True) -> Callable:
         mask[np.flatnonzero(there)[good]] = False
         return pa.StructArray.from_arrays(out, fields=list(kinds), mask=pa.array(mask))
 
-    return run
+    return run.asNondeterministic()
