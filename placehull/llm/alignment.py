@@ -1,31 +1,31 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, and how common each such pair of ids is.
 
-First pass: each text is encoded by both tokenizers; byte offsets at which tokens of both end cut them into groups, and tokens whose byte
-ranges overlap are linked. A task counts, for each pair of ids, its documents that hold the pair linked, and writes the pairs it met
+Each text is encoded once by both tokenizers and its ids are written (two bytes each, zstd). First pass over the ids: byte offsets at which tokens
+of both end cut them into groups, and tokens whose byte ranges overlap are linked. A task counts, for each pair of ids, its documents that hold the pair linked, and writes the pairs it met
 (one row per task and pair). The distinct pairs are then given places by minimal perfect hashing, in shards of about ``SHARD``: levels of bits in which a
 key's bit is set where no other key of the level falls; the rank of its bit is its place. Counts are dense vectors by that place: one per
 (shard, branch) of the task rows, summed over a tree of branches. Each shard keeps its keys in place order, so a look-up verifies the key it
 finds. The highest count of each id of the first tokenizer has at most one row per id of its vocabulary.
 
-Second pass: texts are aligned again and the links' counts looked up by place. The shards travel to the tasks in rounds of at most ``ROUND`` pairs
+Second pass: the ids are aligned again and the links' counts looked up by place. The shards travel to the tasks in rounds of at most ``ROUND`` pairs
 (13 bytes each), whatever the number of pairs; the figures of the rounds are summed per row. One round is the rule: the pairs that occur are far
 fewer than the product of the vocabularies.
 
 Both tokenizers cut before a space that follows another character than white space, so a text is aligned in chunks (mostly a word
-with its space), and a task remembers short chunks' tokens, groups and figures.
+with its space); a task remembers short chunks' ids and aligns texts of about ``TEXTS`` characters together, as arrays.
 
 Nulls and ties: texts that are null, empty, or not given back by the joined bytes of either tokenizer have no tokens: zeros, and '' for the
 digest of groups. A pair is counted once per row of ``docs``, also for rows that share doc_id. Equal counts of an id are all its best. An empty table returns an
-empty one. Input columns named as a result are replaced, others are kept.
+empty one. Input columns named as a result are replaced, others are kept but for the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placehull.llm.base import table
-from placehull.session import stage
+from placehull.session import scratch_path, stage
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARD = 1 << 16  # pairs of a shard, about
 ROUND = 1 << 24  # pairs that travel to the tasks at a time
 FLUSH = 1 << 20  # distinct pairs a task holds before it writes them
-SHORT, MEMORY = 64, 1 << 18  # longest chunk remembered, chunks remembered
+SHORT, MEMORY = 64, 1 << 19  # longest chunk remembered, chunks remembered
+TEXTS = 1 << 20  # characters aligned at a time, a long text by itself
 BRANCH, FAN = 1 << 20, 8  # task rows of a branch of the tree, branches summed at a time
 LEVELS = 64
+LOST = (b"", b"")  # ids of a chunk that a tokenizer does not give back
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 LOOKED_UP = ("n_best", "count_sum")
 CHUNKS = re.compile(r"(?<=\S) (?=.)", re.S)  # the space that begins the next chunk
@@ -119,20 +121,6 @@ class Places:
 # --- texts to groups and links -------------------------------------------------------------------
 
 
-class Tokenizers:
-    """Both tokenizers' files; made on the driver, sent to the tasks."""
-
-    def __init__(self, first: str, second: bytes):
-        self.first, self.second = first, second
-        self._aligner: Aligner | None = None
-
-    def aligner(self) -> Aligner:
-        """A worker loads the tokenizers once and keeps the chunks it remembers for its next tasks."""
-        if self._aligner is None:
-            self._aligner = Aligner(self)
-        return self._aligner
-
-
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,32 +128,42 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Aligned:
-    """A chunk's or text's tokens: figures, groups as text, and a key per link."""
+class Tokenizers:
+    """Both vocabularies; made on the driver, sent to the tasks. Ids of the first are its merges' order, as in its published form."""
 
-    __slots__ = ("figures", "groups", "links")
+    def __init__(self, first: str, second: bytes, pattern: str):
+        letters = byte_letters()
+        entries = json.loads(first)["model"]["vocab"]
+        self.ranks = {bytes(letters[c] for c in entry): i for entry, i in entries.items()}
+        self.second, self.pattern = second, pattern
+        self._aligner: Aligner | None = None
 
-    def __init__(self, figures: tuple[int, int, int, int], groups: str, links: np.ndarray):
-        self.figures, self.groups, self.links = figures, groups, links
+    def aligner(self) -> Aligner:
+        """A worker loads the tokenizers once and keeps the chunks it remembers for its next tasks."""
+        if self._aligner is None:
+            self._aligner = Aligner(self)
+        return self._aligner
 
 
 class Aligner:
+    """Encodes texts by both tokenizers, chunk by chunk, and lays the ids out for ``Links``."""
+
     def __init__(self, files: Tokenizers):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(files.first)
-        self.a.encode_special_tokens = True
+        self.a = tiktoken.Encoding("first", pat_str=files.pattern, mergeable_ranks=files.ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.second)
-        letters = byte_letters()
-        vocabulary = json.loads(files.first)["model"]["vocab"]
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in vocabulary.items()}
-        self.b_bytes = {}
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
-        self.known: dict[str, Aligned | None] = {}
+        self.a_bytes = [b""] * (max(files.ranks.values()) + 1)
+        for part, i in files.ranks.items():
+            self.a_bytes[i] = part
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.kinds = tuple("<u2" if len(side) <= 1 << 16 else "<u4" for side in (self.a_bytes, self.b_bytes))
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        #: id -> its decimal number with what may follow it
+        self.listed = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -173,92 +171,164 @@ class Aligner:
         odd = text[0] == " " or text[-1] == " " or AFTER_SPACE(text)
         return CHUNKS.split(text) if odd else text.split(" ")
 
-    def align(self, chunk: str, a_ids: list[int], b_ids: list[int]) -> Aligned | None:
-        """None if a tokenizer does not give the chunk back."""
-        a_parts, b_parts, whole = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids], f" {chunk}".encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
-        groups, links = [], []
-        i = j = i0 = j0 = 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        while True:
-            links.append((a_ids[i] << 32) | b_ids[j])
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a_ids[i0 : i + 1]))}|{','.join(map(str, b_ids[j0 : j + 1]))}")
-                i0, j0 = i + 1, j + 1
-                if i0 == len(a_ids):
-                    break
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a:
-                i += 1
-                a_end += len(a_parts[i])
-            if step_b:
-                j += 1
-                b_end += len(b_parts[j])
-        figures = len(a_ids), len(b_ids), len(groups), len(links)
-        return Aligned(figures, ";".join(groups), np.array(links, np.int64))
-
-    def chunks(self, texts: list[str | None]) -> list[list[Aligned] | None]:
-        """Per text its aligned chunks; None where it has no tokens."""
+    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Both tokenizers' ids of chunks, as bytes; ``LOST`` where the second does not give the chunk back."""
+        whole = f" {' '.join(chunks)}"
+        spelled = whole.encode()
+        ends = np.cumsum([len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in chunks])
+        a = self.a.encode_ordinary(whole)  # no token spans two chunks
+        b_all = self.b.encode(chunks, num_threads=1)
+        b = list(chain.from_iterable(b_all))
+        a_ends = np.cumsum(self.a_sizes[a])
+        a_cuts = np.searchsorted(a_ends, ends)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != spelled or (a_ends[a_cuts] != ends).any():
+            raise ValueError("the first tokenizer must be byte level and cut before a word's space")
+        b_cuts = np.cumsum(list(map(len, b_all)))
+        good = b"".join(map(self.b_bytes.__getitem__, b)) == spelled and (np.cumsum(self.b_sizes[b])[b_cuts - 1] == ends).all()
+        (a_flat, a_at), (b_flat, b_at) = (
+            (np.array(ids, kind).tobytes(), (cuts * np.dtype(kind).itemsize).tolist())
+            for ids, cuts, kind in ((a, a_cuts + 1, self.kinds[0]), (b, b_cuts, self.kinds[1]))
+        )
+        out = [(a_flat[i:j], b_flat[k:l]) for i, j, k, l in zip([0, *a_at], a_at, [0, *b_at], b_at)]
+        if not good:  # somewhere in these chunks
+            parts = [b"".join([self.b_bytes[i] for i in ids]) for ids in b_all]
+            out = [ids if part == f" {c}".encode() else LOST for ids, part, c in zip(out, parts, chunks)]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """Per text both tokenizers' ids; None where it has no tokens."""
+        known = self.known.get
         cut = [self.cut(t) if t else None for t in texts]
-        wanted = {c for parts in cut if parts for c in parts}
-        if len(self.known) + len(wanted) > MEMORY:
+        rows = [list(map(known, parts)) if parts else None for parts in cut]
+        lacking = [k for k, row in enumerate(rows) if row and None in row]
+        fresh = list({c for k in lacking for c, ids in zip(cut[k], rows[k]) if ids is None})
+        made: dict[str, tuple[bytes, bytes]] = {}
+        for k in range(0, len(fresh), 8192):
+            some = fresh[k : k + 8192]
+            made.update(zip(some, self._encode(some)))
+        for k in lacking:
+            rows[k] = [made[c] if ids is None else ids for c, ids in zip(cut[k], rows[k])]
+        if len(self.known) + len(made) > MEMORY:
             self.known.clear()
-        fresh = [c for c in wanted if c not in self.known]
-        found: dict[str, Aligned | None] = {}
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            a_all = self.a.encode_batch([f" {c}" for c in some], add_special_tokens=False)
-            b_all = self.b.encode(some, num_threads=1)
-            for c, a, b in zip(some, a_all, b_all):
-                (self.known if len(c) <= SHORT else found)[c] = self.align(c, a.ids, b)
-        out = []
-        for parts in cut:
-            rows = [found[c] if c in found else self.known[c] for c in parts] if parts else [None]
-            out.append(None if any(r is None for r in rows) else rows)
-        return out
+        self.known.update((c, ids) for c, ids in made.items() if len(c) <= SHORT)
+        return [tuple(map(b"".join, zip(*row))) if row and LOST not in row else None for row in rows]
+
+
+class Links:
+    """Tokens of a few texts, end to end, by byte offsets: which overlap, and where groups end."""
+
+    def __init__(self, aligner: Aligner, encoded: list[tuple[bytes, bytes]]):
+        a, b = (np.frombuffer(b"".join([e[k] for e in encoded]), aligner.kinds[k]).astype(np.int64) for k in (0, 1))
+        #: tokens before each text, the last for all
+        widths = [np.dtype(kind).itemsize for kind in aligner.kinds]
+        self.a_from, self.b_from = (np.cumsum([0, *(len(e[k]) // widths[k] for e in encoded)]) for k in (0, 1))
+        self.a, self.b, self.listed = a, b, aligner.listed
+        a_ends, b_ends = np.cumsum(aligner.a_sizes[a]), np.cumsum(aligner.b_sizes[b])
+        b_starts = np.concatenate(([0], b_ends[:-1])).astype(np.int64)
+        a_starts = np.concatenate(([0], a_ends[:-1])).astype(np.int64)
+        first = np.searchsorted(b_ends, a_starts, "right")  # of the second's tokens that overlap
+        stop = np.searchsorted(b_starts, a_ends, "left")
+        n = stop - first
+        #: links before each token of the first tokenizer
+        self.before = np.cumsum(np.concatenate(([0], n)))
+        at = np.repeat(np.arange(len(a)), n)
+        self.pairs = (a[at] << 32) | b[np.arange(self.before[-1]) - self.before[at] + first[at]]
+        self.a_closes = b_ends[stop - 1] == a_ends if len(a) else np.zeros(0, bool)  # the token ends a group
+        self.b_closes = np.zeros(len(b), bool)
+        self.b_closes[stop[self.a_closes] - 1] = True
+        self.text_links = self.before[self.a_from]
+        self.closed = np.cumsum(np.concatenate(([0], self.a_closes)))
+
+    def texts_of_links(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.a_from) - 1), np.diff(self.text_links))
+
+    def figures(self) -> tuple[np.ndarray, ...]:
+        """n_a, n_b, n_groups, n_links of each text."""
+        return np.diff(self.a_from), np.diff(self.b_from), np.diff(self.closed[self.a_from]), np.diff(self.text_links)
+
+    def groups(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text."""
+        a_group = self.closed[:-1]
+        b_group = np.cumsum(np.concatenate(([0], self.b_closes)))[:-1]
+        # a group's tokens of the first tokenizer stand before its tokens of the second
+        a_at = np.arange(len(self.a)) + np.searchsorted(b_group, a_group, "left")
+        b_at = np.arange(len(self.b)) + np.searchsorted(a_group, b_group, "right")
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        code[a_at] = self.a * 3 + self.a_closes
+        code[b_at] = self.b * 3 + 2 * self.b_closes
+        spelled = list(map(self.listed.__getitem__, code.tolist()))
+        cuts = (self.a_from + self.b_from).tolist()
+        return ["".join(spelled[i:j])[:-1] for i, j in zip(cuts, cuts[1:])]
+
+
+def _few(cells: Iterator, size: Callable) -> Iterator[list]:
+    """Neighbouring values of about TEXTS in size together."""
+    held, total = [], 0
+    for cell in cells:
+        held.append(cell)
+        total += size(cell)
+        if total >= TEXTS:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _encoded_cells(batch: pa.RecordBatch) -> Iterator[list[tuple[bytes, bytes] | None]]:
+    """Ids of the rows of an encoded table, a few rows at a time."""
+    pairs = ((a.as_py(), b.as_py()) if a.is_valid else None for a, b in zip(batch.column("__a"), batch.column("__b")))
+    return _few(pairs, lambda e: len(e[0]) if e else 0)
+
+
+def encode_texts(docs: DataFrame, sent) -> DataFrame:
+    """``docs`` without the text, with both tokenizers' ids as __a and __b; null where a text has no tokens."""
+    out = docs.withColumns({c: F.lit(None).cast("binary") for c in ("__a", "__b")}).drop("text")
+    names = out.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = sent.value.aligner()
+        for batch in batches:
+            found = []
+            for texts in _few((t.as_py() for t in batch.column("text")), lambda t: len(t or "")):
+                found += aligner.encode(texts)
+            ids = [pa.array([e[k] if e else None for e in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), *ids], names=names)
 
-# --- first pass ----------------------------------------------------------------------------------
+    return docs.mapInArrow(run, out.schema)
 
 
-def _batches(column: pa.Array, size: int = 512) -> Iterator[list[str | None]]:
-    for k in range(0, len(column), size):
-        yield column.slice(k, size).to_pylist()
+# --- first pass ----------------------------------------------------------------------------------
 
 
-def task_pairs(docs: DataFrame, sent) -> DataFrame:
+def task_pairs(encoded: DataFrame, sent) -> DataFrame:
     """(pair, n): rows of a task that hold the pair linked; a pair has a row per task, or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = sent.value.aligner()
-        keys, counts = [], []
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(pairs)).astype(np.int64)
-            keys[:], counts[:] = [pairs], [n]
+        def merge() -> pa.RecordBatch:
+            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
+            held[:] = [(pairs, n)]
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
         for batch in batches:
-            for texts in _batches(batch.column("text")):
-                for rows in aligner.chunks(texts):
-                    if rows:
-                        pairs = np.unique(np.concatenate([r.links for r in {id(r): r for r in rows}.values()]))
-                        keys.append(pairs)
-                        counts.append(np.ones(len(pairs), np.int64))
-                        held += len(pairs)
-                if held > 2 * FLUSH:
-                    made = flush()
-                    held = len(keys[0])
-                    if held > FLUSH:
+            for cells in _encoded_cells(batch):
+                links = Links(aligner, [e for e in cells if e])
+                pairs, at = np.unique(links.pairs, return_inverse=True)
+                if len(pairs):
+                    once = np.unique(links.texts_of_links() * len(pairs) + at) % len(pairs)
+                    held.append((pairs, np.bincount(once, minlength=len(pairs))))
+                if sum(len(p) for p, _ in held) > 2 * FLUSH:
+                    made = merge()
+                    if made.num_rows > FLUSH:
                         yield made
-                        keys[:], counts[:], held = [], [], 0
-        if keys:
-            yield flush()
+                        held.clear()
+        if held:
+            yield merge()
 
-    return docs.select("text").mapInArrow(run, "pair long, n long")
+    return encoded.select("__a", "__b").mapInArrow(run, "pair long, n long")
 
 
 # --- counts by place -----------------------------------------------------------------------------
@@ -344,47 +414,43 @@ class Counts:
 # --- second pass ---------------------------------------------------------------------------------
 
 
-def looked_up(docs: DataFrame, sent, counts) -> DataFrame:
-    """``docs`` with figures, groups_sha256, n_best and count_sum over the pairs ``counts`` holds."""
+def looked_up(encoded: DataFrame, sent, counts) -> DataFrame:
+    """``encoded`` with figures, groups_sha256, n_best and count_sum over the pairs ``counts`` holds, in place of the ids."""
     kinds = {c: "long" for c in (*FIGURES, *LOOKED_UP)} | {"groups_sha256": "string"}
-    docs = docs.drop(*kinds).withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
-    names = docs.columns
+    out = encoded.drop("__a", "__b").withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    names = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, held = sent.value.aligner(), counts.value
         for batch in batches:
             made = []
-            for texts in _batches(batch.column("text")):
-                texts = aligner.chunks(texts)
-                distinct = list({id(r): r for rows in texts if rows for r in rows}.values())
-                sizes = [len(r.links) for r in distinct]
-                count, best = held.look_up(np.concatenate([r.links for r in distinct])) if distinct else (np.zeros(0, np.int64),) * 2
-                ends = np.cumsum([0, *sizes])
-                sums = np.concatenate(([0], np.cumsum(count)))[ends]
-                bests = np.concatenate(([0], np.cumsum(best)))[ends]
-                at = {id(r): k for k, r in enumerate(distinct)}
-                sums, bests = np.diff(sums), np.diff(bests)
-                for rows in texts:
-                    if not rows:
-                        made.append((0, 0, 0, 0, 0, 0, ""))
-                        continue
-                    places = np.array([at[id(r)] for r in rows])
-                    figures = np.array([r.figures for r in rows]).sum(axis=0)
-                    groups = hashlib.sha256(";".join([r.groups for r in rows]).encode()).hexdigest()
-                    made.append((*figures.tolist(), int(bests[places].sum()), int(sums[places].sum()), groups))
+            for cells in _encoded_cells(batch):
+                links = Links(aligner, [e for e in cells if e])
+                pairs, at = np.unique(links.pairs, return_inverse=True)
+                count, best = held.look_up(pairs) if len(pairs) else (np.zeros(0, np.int64),) * 2
+                sums = [np.diff(np.cumsum(np.concatenate(([0], v[at])))[links.text_links]).tolist() for v in (best, count)]
+                groups = [hashlib.sha256(g.encode()).hexdigest() for g in links.groups()]
+                rows = zip(*(f.tolist() for f in links.figures()), *sums, groups)
+                made += [next(rows) if e else (0, 0, 0, 0, 0, 0, "") for e in cells]
             columns = [pa.array([m[k] for m in made], pa.int64()) for k in range(6)] + [pa.array([m[6] for m in made], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[: -len(kinds)]), *columns], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return encoded.mapInArrow(run, out.schema)
 
 
 def align_texts(docs: DataFrame, files: Tokenizers, round_pairs: int = ROUND, shard_pairs: int = SHARD, branch_rows: int = BRANCH) -> DataFrame:
-    """``docs`` with the figures of their aligned tokens and of their links' corpus-wide counts."""
+    """``docs``, without the text, with the figures of their aligned tokens and of their links' corpus-wide counts."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(files)
-    rows = stage(task_pairs(docs, sent), "task_pairs")
+    docs = docs.drop(*FIGURES, *LOOKED_UP, "groups_sha256")
+    encoded, path = encode_texts(docs, sent), scratch_path(spark, "encoded")
+    encoded.write.option("compression", "zstd").parquet(path)
+    encoded = spark.read.schema(encoded.schema).parquet(path)
+    rows = stage(task_pairs(encoded, sent), "task_pairs")
     pairs = stage(rows.select("pair").distinct(), "pairs")
     n_rows, n_pairs = rows.count(), pairs.count()
+    if not n_pairs:
+        return looked_up(encoded, sent, spark.sparkContext.broadcast(_NoCounts()))
     shards = max(1, -(-n_pairs // shard_pairs), min(n_pairs // 1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     to_shard = F.pandas_udf(lambda pair: pd.Series(shard_of(pair.to_numpy(np.int64), shards)), "long")
     rows, pairs = (df.withColumn("shard", to_shard("pair")) for df in (rows, pairs))
@@ -392,10 +458,8 @@ def align_texts(docs: DataFrame, files: Tokenizers, round_pairs: int = ROUND, sh
     sums = counted(rows, hashes, max(1, -(-n_rows // branch_rows)))
     table_ = stage(hashes.join(sums, "shard"), "pair_counts")
     top = {r.a: r.top for r in highest(table_).collect()}  # at most a row per id of the first vocabulary
-    tops = np.zeros(max(top, default=0) + 1, np.int64)
+    tops = np.zeros(max(top) + 1, np.int64)
     tops[list(top)] = list(top.values())
-    if not n_pairs:
-        return looked_up(docs, sent, spark.sparkContext.broadcast(_NoCounts()))
     per_round = max(1, round_pairs * shards // n_pairs)
     bounds = [(k, min(k + per_round, shards)) for k in range(0, shards, per_round)]
 
@@ -404,20 +468,20 @@ def align_texts(docs: DataFrame, files: Tokenizers, round_pairs: int = ROUND, sh
         return spark.sparkContext.broadcast(Counts(shards, found, tops))
 
     if len(bounds) == 1:
-        return looked_up(docs, sent, held(*bounds[0]))
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    parts = []
+        return looked_up(encoded, sent, held(*bounds[0]))
+    numbered = stage(encoded.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    out = None
     for first, end in bounds:
         counts = held(first, end)
-        keep = [] if parts else [F.struct(*(c for c in numbered.columns if c != "__row")).alias("__doc"), F.struct(*FIGURES, "groups_sha256").alias("__own")]
-        part = looked_up(numbered, sent, counts).select("__row", *LOOKED_UP, *keep)
-        parts.append(stage(part, "round"))
+        part = stage(looked_up(numbered, sent, counts), "round")
         counts.destroy()
-    out = parts[0]
-    for part in parts[1:]:
-        more = part.select("__row", *(F.col(c).alias(f"__{c}") for c in LOOKED_UP))
-        out = out.join(more, "__row").withColumns({c: F.col(c) + F.col(f"__{c}") for c in LOOKED_UP}).drop(*(f"__{c}" for c in LOOKED_UP))
-    return out.select("__doc.*", "__own.*", *LOOKED_UP).select(*(c for c in docs.columns if c not in (*FIGURES, *LOOKED_UP, "groups_sha256")), *FIGURES, *LOOKED_UP, "groups_sha256")
+        if out is None:
+            out = part
+        else:
+            more = part.select("__row", *(F.col(c).alias(f"__{c}") for c in LOOKED_UP))
+            sums = {c: F.col(c) + F.col(f"__{c}") for c in LOOKED_UP}
+            out = stage(out.join(more, "__row").withColumns(sums).drop(*(f"__{c}" for c in LOOKED_UP)), "sums")
+    return out.drop("__row")
 
 
 class _NoCounts:
@@ -429,7 +493,7 @@ class _NoCounts:
 
 def tokenizer_files(first: str = FIRST, second: str = SECOND) -> Tokenizers:
     with open(public_tokenizers.path(first), encoding="utf-8") as a, open(public_tokenizers.path(second), "rb") as b:
-        return Tokenizers(a.read(), b.read())
+        return Tokenizers(a.read(), b.read(), public_tokenizers.PATTERN)
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc
@@ -143,6 +146,44 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_rewritten_passages_are_found(spark):
+    """Passages with 10 to 40 % of their words replaced, inside other words, against every window's subsequence."""
+    rng = random.Random(6)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    pool = " ".join(r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60).collect()).split()
+    docs, shares = [], {}
+    for n, (_, text) in enumerate(bench * 5):
+        words, share = text.split(), (0.1, 0.2, 0.3, 0.35, 0.4)[n % 5]
+        for i in rng.sample(range(len(words) - 4), min(len(words) - 4, round(share * len(words)))):
+            words[i] = rng.choice(pool)
+        at = rng.randrange(len(pool) - 600)
+        docs.append((n, " ".join([*pool[at : at + 300], *words, *pool[at + 300 : at + 600]])))
+        shares[n] = share
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate.with_hits(table, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    caught = collections.Counter()
+    for n, text in docs:
+        item, passage = bench[n % len(bench)]
+        words, whole = decontaminate._ints(passage.encode()), decontaminate._ints(text.encode())
+        width = len(words) + 32
+        if any(decontaminate.checked(words, words[-4:], whole[i : i + width]) for i in range(200, 400, 4)):
+            caught[shares[n], item in got[n]] += 1
+    for share in (0.1, 0.2, 0.3, 0.35, 0.4):
+        found, lost = caught[share, True], caught[share, False]
+        assert found + lost >= 10 and found >= 0.9 * (found + lost), (share, found, lost)
+
+
+def test_short_items_and_long_texts(spark):
+    leak = "the quick brown fox jumps over the lazy dog while seven wizards brew purple potions under green moons"
+    filler = [f"n{i % 7919}" for i in range(3 * decontaminate.CHUNK)]
+    cuts = [decontaminate.CHUNK - 9, 2 * decontaminate.CHUNK + 3, len(filler)]
+    docs = [(k, " ".join([*filler[:c], leak, *filler[c:]])) for k, c in enumerate(cuts)]
+    docs += [(10, "Yes"), (11, "yes it is so"), (12, "yes no"), (13, "no")]
+    bench = spark.createDataFrame([(1, leak), (2, "yes"), (3, "yes no"), (4, "a b c d e f g")], "item_id long, text string")
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [1], 10: [2], 11: [], 12: [3], 13: []}
+
+
 def test_ngram_scores_equal_brute_force(spark):
     path = f"{SMALL}/documents.parquet"
     docs = duckdb.sql(f"select doc_id, text from read_parquet('{path}')").fetchall()
@@ -206,6 +247,24 @@ def test_reply_trees(spark):
     assert chat.format_trees(messages.limit(0)).count() == 0
 
 
+def test_a_null_tree_is_a_tree(spark):
+    rows = [(None, 1, None, "user", "q"), (None, 2, 1, "assistant", "a"), (4, 1, None, "user", "x"), (4, None, 1, "user", "no id"), (None, 2, 1, "assistant", "a")]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string").withColumn("score", F.lit(1.0))
+    got = {r.tree: r.formatted for r in chat.format_trees(messages).collect()}
+    assert got == {None: "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n", 4: "<|im_start|>user\nx<|im_end|>\n"}
+
+
+def test_deep_paths_plan_no_more_scans(spark):
+    """The plan of a chain of 1,000 messages reads no more tables than that of 10."""
+    scans = {}
+    for n in (10, 1000):
+        messages = spark.range(n).selectExpr("7L as tree", "id as node", "if(id > 0, id - 1, null) as parent", "'user' as role", "string(id) as text", "1d as score")
+        paths = chat.best_paths(messages)
+        assert [r.pos for r in paths.orderBy("node").collect()] == list(range(n))
+        scans[n] = paths._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans[10] == scans[1000] == 1
+
+
 def test_main_text():
     page = (
         '<html><head><title>t</title><script>"</p>"</script></head><body><header>Top</header><nav><ul><li>menu</ul></nav><div class="cookieNotice">c</div>'
@@ -228,6 +287,60 @@ def test_site_furniture_goes_by_entropy(spark):
     assert sitestyle.extract(pages.limit(0)).count() == 0
 
 
+def tree_by_force(pages):
+    """Importance of each node of a host's merged tree, from all pages' elements."""
+    seen = collections.defaultdict(lambda: collections.defaultdict(list))
+    for host, html in pages:
+        merged = collections.defaultdict(lambda: ([], []))
+        for e in sitestyle.parse(html)[1]:
+            merged[e.path][0].append(tuple(e.children))
+            merged[e.path][1].append((e.texts.hash, e.texts.factor))
+        for path, (shape, texts) in merged.items():
+            seen[host, path]["p"].append(tuple(shape))
+            seen[host, path]["c"].append(tuple(texts))
+    out = {}
+    for key, kinds in seen.items():
+        m = len(kinds["p"])
+        scaled = [1.0 if m < 2 else -sum(n / m * math.log(n / m) for n in collections.Counter(v).values()) / math.log(m) for v in (kinds["p"], kinds["c"])]
+        out[key] = m, 0.1 * scaled[0] + 0.9 * scaled[1]
+    return out
+
+
+def test_style_tree_equals_brute_force(spark):
+    rows = [(f"http://h{i % 3}/", f"<body><nav>menu</nav><div class=a><p>{i}</p><p>x</p></div><div class=b>{'y' * (i % 2)}</div><ul>{'<li>z' * (i % 4)}</ul>") for i in range(40)]
+    found = sitestyle.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()
+    want = tree_by_force(rows)
+    assert {(r.host, r.node): (r.pages, pytest.approx(r.importance, abs=1e-9)) for r in found} == want
+
+
+def test_the_tree_decides_inside_articles(spark):
+    """Furniture in articles goes by entropy alone; without the tree the texts differ."""
+    box = '<div class="k9"><p>Read more of our stories</p></div>'
+    html = [f"<body><article><h1>Title {i}</h1><p>Story {i} tells {i * 7}</p>{box}<div class='related-work'><p>Work {i}</p></div></article></body>" for i in range(20)]
+    copied = f"<body><div><article><p>All pages tell the same</p>{box}</article></div></body>"
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(50 + i, f"http://copies/{i}", copied) for i in range(20)]
+    got = {r.page_id: r.text for r in sitestyle.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3 Story 3 tells 21 Work 3" and got[53] == "All pages tell the same Read more of our stories"
+    assert sitestyle.main_text(html[3]) == "Title 3 Story 3 tells 21 Read more of our stories Work 3"
+
+
+def test_names_inside_articles():
+    page = (
+        '<article><p>a</p><div class="search-theory"><p>b</p></div><div class="related-work"><p>c</p></div><div class="ad-slot">x</div>'
+        '<div class="social share">y</div><p class="social-history">e</p><p>f</p></article>'
+    )
+    assert sitestyle.main_text(page) == "a b c e f"
+
+
+@pytest.mark.parametrize("page", ["<a " * 20_000, "<script " * 20_000, "<! " * 20_000, "<a \"" * 20_001, "<div>" * 100_000, "<div>x" * 30_000, "<!--" * 20_000, "</p>" * 50_000])
+def test_broken_and_deep_pages_take_linear_time(page):
+    import resource
+
+    started, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    sitestyle.main_text(page)
+    assert time.process_time() - started < 8 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -107,8 +108,7 @@ def aligned_by_force(texts):
     """Whole texts through both libraries, byte by byte."""
     from tokenizers import Tokenizer
 
-    files = alignment.tokenizer_files()
-    a = Tokenizer.from_str(files.first)
+    a = Tokenizer.from_file(public_tokenizers.path(alignment.FIRST))
     a.encode_special_tokens = True
     names = {i: t for t, i in a.get_vocab(with_added_tokens=False).items()}
     letters, b = alignment.byte_letters(), library()
