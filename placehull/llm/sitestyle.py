@@ -3,23 +3,26 @@
 The pages of a host are merged into one tree: a node is a path of tags with their classes. Over the pages that have a
 node, the presentation entropy (how its sequences of children differ) and the content entropy (how its texts differ) are scaled to 0..1 by the
 logarithm of the number of pages, and importance = 0.1 * presentation + 0.9 * content. Branches below ``IMPORTANT``, seen on at
-least ``PAGES`` pages of the host, are the site's own furniture and are removed from each page. Parts that say what they are
-(navigation, headers, footers, asides, forms, adverts, notices, reader comments, scripts, styles) are removed by
-tag, class, id or role on every page. If a page has an article or main element, only that is main text, and branches in it are not judged
-by entropy, since a copied article is an article still.
+least ``PAGES`` pages of the host, are the site's own furniture and are removed from each page, inside articles as well. An article
+or main element as a whole is never judged, and where its own content is of low importance (a copied article is an article still) neither
+are its branches. Parts that say what they are (navigation, headers, footers, asides, forms, adverts, notices, reader comments, scripts,
+styles) are removed by tag, class, id or role on every page; inside articles a class like ``related-work`` says nothing unless
+every word of it does, and the tree decides. If a page has an article or main element, only that is main text.
 
 Only sums over (host, node, feature) are shuffled, partly summed before; the list of low branches per host is joined back. No page is shuffled while
 that list is small enough for Spark to send it along.
 
 White space inside a block becomes one space, blocks are joined by one space in page order; character references are decoded. Nulls and
 ties: null html counts as empty and gives an empty text; a null url is a host of its own; equal rows get equal texts. An empty table returns an
-empty one. Input columns named ``text`` or ``n_chars`` are replaced.
+empty one. Input columns named ``text`` or ``n_chars`` are replaced. Broken and deep pages: a ``<`` that begins no whole tag is
+text; time and memory grow with the page's length, whatever its depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,24 +50,43 @@ NOISE_NAMES = set(
     "sidebar side aside footer header masthead topbar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe signup share sharing "
     "social related recommended recommendations widget toolbar pagination pager login search form skip".split()
 )
+ADVERT_NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter popup".split())
 COMMENT_NAMES = set("comment comments commentlist replies reply respond disqus discussion reviews".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp|title)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^<>\"'])*+)>|<[!?][^<>]*+>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+PRIME, BASE = (1 << 61) - 1, 0x1F0E1D2C3B4A5968
+
+
+class Sequence:
+    """Hash of a sequence of texts, which two neighbours' hashes make together in one step."""
+
+    __slots__ = ("hash", "factor")
+
+    def __init__(self):
+        self.hash, self.factor = 0, 1
+
+    def add(self, value: int, factor: int = BASE) -> None:
+        self.hash = (self.hash * factor + value) % PRIME
+        self.factor = self.factor * factor % PRIME
+
+
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children", "texts")
+    """``said``: it, or one around it, says that it is no main text; ``low``: the tree does; ``fixed``: the tree is not asked."""
+
+    __slots__ = ("tag", "path", "said", "low", "main", "fixed", "children", "texts")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: int, said: bool, low: bool, main: bool, fixed: bool):
+        self.tag, self.path, self.said, self.low, self.main, self.fixed = tag, path, said, low, main, fixed
         self.children: list[str] = []
-        self.texts: list[bytes] = []
+        self.texts = Sequence()
 
 
 def names_of(attributes: dict[str, str]) -> set[str]:
@@ -82,17 +104,19 @@ def is_noise(tag: str, attributes: dict[str, str], main: bool) -> bool:
     style = attributes.get("style", "").replace(" ", "").lower()
     if tag in NOISE_TAGS or "hidden" in attributes or "display:none" in style or (tag == "header" and not main):
         return True
-    return bool(names & NOISE_NAMES) or attributes.get("role", "").lower() in NOISE_ROLES
+    named = bool(names & ADVERT_NAMES) or (bool(names) and names <= NOISE_NAMES) if main else bool(names & NOISE_NAMES)
+    return named or attributes.get("role", "").lower() in NOISE_ROLES
 
 
 def parse(page: str, low: frozenset[int] | set[int] = frozenset()):
     """(blocks, elements): main-text candidates as (in article, text), and every element closed, with its path, children and texts.
 
-    Elements whose path is in ``low`` are removed unless they are in, or hold, an article or main element.
+    Elements whose path is in ``low`` are removed, but for articles and what is in an article whose own path is in it.
     """
     blocks: list[tuple[bool, str]] = []
     done: list[Element] = []
-    stack = [Element("", 0, False, False)]
+    stack = [Element("", 0, False, False, False, False)]
+    opened: Counter[str] = Counter([""])  # elements on the stack by tag: a search that finds nothing is not begun
     piece: list[str] = []
 
     def flush() -> None:
@@ -101,16 +125,20 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()):
         text = " ".join(entities.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            digest = xxhash.xxh3_64_digest(text)
-            for e in stack:
-                e.texts.append(digest)
-            if not stack[-1].noise:
-                blocks.append((stack[-1].main, text))
+            top = stack[-1]
+            top.texts.add(xxhash.xxh3_64_intdigest(text))
+            if not (top.said or top.low):
+                blocks.append((top.main, text))
 
     def pop(to: int) -> None:
+        """Close elements; a closed one's texts go on to the one around it."""
         flush()
-        done.extend(stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            closed = stack.pop()
+            opened[closed.tag] -= 1
+            done.append(closed)
+            if stack:
+                stack[-1].texts.add(closed.texts.hash, closed.texts.factor)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -121,13 +149,10 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()):
         if not tag:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if opened[tag]:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -141,9 +166,10 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()):
             continue  # inline elements neither break a block nor make a node
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
+            alike = tag in ("li", "option", "tr", "td", "th", "dt", "dd") and opened[tag]
+            for i in range(len(stack) - 1, 0, -1) if alike or opened["p"] else ():
                 open_tag = stack[i].tag
-                if (open_tag == "p" and tag in CLOSES_P) or (open_tag == tag and tag in ("li", "option", "tr", "td", "th", "dt", "dd")):
+                if (open_tag == "p" and tag in CLOSES_P) or (open_tag == tag and alike):
                     pop(i)
                     break
                 if open_tag in ("div", "section", "article", "table", "ul", "ol", "td", "th", "body", "main"):
@@ -155,7 +181,12 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()):
         top.children.append(label)
         if raw.endswith("/") and tag not in BLOCK:
             continue
-        stack.append(Element(tag, path, top.noise or noise or (path in low and not main), main))
+        opened[tag] += 1
+        if main and not top.main:  # an article begins: what is said of the parts around it by the tree does not hold
+            stack.append(Element(tag, path, top.said or noise, False, True, path in low))
+        else:
+            judged = path in low and not top.fixed and tag not in ("html", "body")
+            stack.append(Element(tag, path, top.said or noise, top.low or judged, main, top.fixed))
     if at < len(page):
         piece.append(page[at:])
     pop(0)
@@ -178,17 +209,17 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, nodes, kinds, features = [], [], [], []
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            merged: dict[int, tuple[list[str], list[bytes]]] = {}
+            merged: dict[int, tuple[list[str], Sequence]] = {}
             for e in parse(page or "")[1]:
-                children, texts = merged.setdefault(e.path, ([], []))
+                children, texts = merged.setdefault(e.path, ([], Sequence()))
                 children += ["(", *e.children]
-                texts += e.texts
+                texts.add(e.texts.hash, e.texts.factor)
             for path, (children, texts) in merged.items():
                 hosts += [h, h]
                 nodes += [path, path]
                 kinds += [PRESENTATION, CONTENT]
                 features.append(xxhash.xxh3_64_intdigest(" ".join(children)) >> 1)
-                features.append(xxhash.xxh3_64_intdigest(b"".join(texts)) >> 1)
+                features.append(texts.hash)
         columns = [pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "kind", "feature"])
 
