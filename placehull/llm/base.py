@@ -27,7 +27,6 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     partition is the sum of the counts before it (one number per partition, not per row). Rows
     that are equal in ``order`` land in one partition, so order by keys that are nearly distinct.
     """
-    spark = df.sparkSession
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     parts = (
         df.repartitionByRange(*order)
@@ -35,14 +34,10 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .select("*", F.spark_partition_id().alias("__part"), local.alias("__local"))
     )
     parts = stage(parts, "numbered")
-    counts = sorted(tuple(r) for r in parts.groupBy("__part").count().collect())
-    offsets, total = [], 0
-    for part, count in counts:
-        offsets.append((part, total))
-        total += count
-    starts = spark.createDataFrame(offsets, "__part int, __start long")
-    return (
-        parts.join(F.broadcast(starts), "__part")  # a row per partition
-        .withColumn(name, F.col("__start") + F.col("__local"))
-        .drop("__part", "__local", "__start")
-    )
+    counts = dict(tuple(r) for r in parts.groupBy("__part").count().collect())
+    starts, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    begun = F.get(F.lit(starts).cast("array<long>"), F.col("__part"))  # a number per partition
+    return parts.withColumn(name, begun + F.col("__local")).drop("__part", "__local")

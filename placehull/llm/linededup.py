@@ -112,7 +112,7 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
         at = position()
         groups = pairs.groupBy(*keys).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last")
         found = pairs.join(groups, keys).filter(at > F.col("first")).select("doc", "digest", "pos", "len")
-        later.append(found)
+        later.append(stage(found, "found"))
         if 2 * h <= min_words:
             pairs = seen.join(shifted(seen, F.lit(h)), ["doc", "digest", "pos"])
             pairs = pairs.select("doc", "digest", "pos", F.col("rank").alias("rank1"), "rank2")
