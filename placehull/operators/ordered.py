@@ -6,9 +6,10 @@ groups above a fixed row count, range-partition their rows by key and order into
 as the rows need, write them once and add what lies below a part or a group. Nothing depends
 on how even the parts are.
 
-The number of parts, and so the tables of part offsets and of hot groups, is rows /
-``hot_rows``. Both are written tables that are joined, so Spark broadcasts them only while their
-size is below its own threshold. Null keys form a group like any other.
+The number of parts, and so the table of part offsets, is rows / ``hot_rows``; a limit far below
+``HOT_ROWS`` makes no more parts than the session's shuffles have. Offsets and hot groups are
+written tables that are joined, so Spark broadcasts them only while their size is below its own
+threshold. Null keys form a group like any other.
 
 Inputs are read more than once, so pass tables (scans or staged tables), not long lineages.
 """
@@ -37,10 +38,10 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     hot = stage(sizes.where(F.col("group_rows") > hot_rows), "hot_sizes")
     if hot.isEmpty():
         return None
-    # one row per hot group: a hot_rows-th of the input at most
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("group_rows").over(before), F.lit(0))
-    return stage(hot.withColumn("group_start", start), "hot_groups")
+    # one row per hot group: a hot_rows-th of the input at most, which is many for a small limit
+    ends = running_totals(hot, keys, {"group_end": F.col("group_rows")}).drop("__bucket")
+    start = F.col("group_end") - F.col("group_rows")
+    return stage(ends.withColumn("group_start", start).drop("group_end"), "hot_groups")
 
 
 def with_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,7 +99,10 @@ def row_numbers(
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
         return plain(df)
-    parts = _part_count(hot.agg(F.sum("group_rows")).first()[0], hot_rows)
+    rows = hot.agg(F.sum("group_rows")).first()[0]
+    # parts need not be as small as a small limit for groups: never more tasks than a shuffle has, but for their size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(_part_count(rows, hot_rows), max(_part_count(rows, HOT_ROWS), tasks))
     marked = with_group_facts(df, hot, keys)
     big = marked.where("group_rows is not null")
     for name, order in orders.items():

@@ -100,3 +100,16 @@ def test_similarity_is_difflib(spark):
     )
     got = [r[0] for r in golden.select(name_similarity(F.col("a"), F.col("b"))).collect()]
     assert round(got[0], 4) == 0.8571 and got[1] == 0.0 and got[2] is None
+
+
+def test_a_small_limit_makes_no_more_parts_than_a_shuffle(spark, monkeypatch):
+    from placehull.operators import ordered
+
+    rows = [(k % 300, f"u{k}", k, 1.0, 0.0, 0.5) for k in range(900)]
+    df = spark.createDataFrame(rows, AOI)
+    used, number = [], ordered._number_hot
+    monkeypatch.setattr(ordered, "_number_hot", lambda *a: used.append(a[-1]) or number(*a))
+    found = row_numbers(df, ["poi_id"], {"n": [F.col("uid")]}, 2)
+    whole = row_numbers(df, ["poi_id"], {"n": [F.col("uid")]})
+    assert sorted(found.collect()) == sorted(whole.collect())
+    assert used == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
