@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placehull.functions.coords import CONVERSIONS, run_steps
+from placehull.operators.ringkernel import ring_points
 
 MIN_RING_POINTS = 4  # a closed triangle
 
@@ -53,10 +53,15 @@ def with_ring_numbers(df: DataFrame, geo: str = "geo", out: str = "numbers") ->
 
 
 def explode_vertices(df: DataFrame, numbers: str = "numbers", keep: list[str] | None = None) -> DataFrame:
-    """One row per vertex: pos (0-based), x, y. Rows without a ring disappear."""
+    """One row per vertex: pos (0-based), x, y. Rows without a ring disappear.
+
+    They do so in the generator: a filter on the ring would be pushed below its decoding, with a copy of all steps
+    in its condition for each use.
+    """
     keep = keep if keep is not None else [c for c in df.columns if c != numbers]
     index = F.sequence(F.lit(0), F.floor(F.size(numbers) / 2).cast("int") - 1)
-    rows = df.where(F.col(numbers).isNotNull()).select(*keep, numbers, F.explode(index).alias("pos"))
+    index = F.when(F.col(numbers).isNotNull(), index)
+    rows = df.select(*keep, numbers, F.explode(index).alias("pos"))
     return rows.select(
         *keep,
         "pos",
@@ -66,23 +71,26 @@ def explode_vertices(df: DataFrame, numbers: str = "numbers", keep: list[str] |
 
 
 def vertices_wgs84(df: DataFrame, numbers: str = "numbers", keep: list[str] | None = None) -> DataFrame:
-    """Vertex rows with ``lng``/``lat`` in wgs84 degrees (NaN off every band)."""
-    rows = explode_vertices(df, numbers, keep)
-    steps = CONVERSIONS["bd09mc", "wgs84"]
-    return run_steps(rows, steps, [(("x", "y"), ("lng", "lat"))]).drop("x", "y")
+    """Vertex rows (0-based ``pos``) with ``lng``/``lat`` in wgs84 degrees (NaN off every band)."""
+    keep = keep if keep is not None else [c for c in df.columns if c != numbers]
+    rows = df.select(*keep, ring_points()(numbers).alias("__points"))
+    rows = rows.select(*keep, F.posexplode("__points").alias("pos", "v"))
+    return rows.select(*keep, "pos", F.col("v.lng").alias("lng"), F.col("v.lat").alias("lat"))
 
 
 def rings_wgs84(df: DataFrame, keys: list[str], geo: str = "geo") -> DataFrame:
     """Decode ``geo`` into ``ring: array<struct<lng, lat>>``, one row per key.
 
-    The collected group is one ring, which entered as a single row.
+    Rings are converted whole, row by row; rows of one key are merged by place, as all their vertices in one order.
     """
-    rows = vertices_wgs84(with_ring_numbers(df.select(*keys, geo), geo), keep=keys)
-    whole = F.count_if(F.isnan("lat")) == 0  # a vertex off every Mercator band spoils the ring
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "lng", "lat")))
-    return rows.groupBy(*keys).agg(F.when(whole, ordered).alias("ring")).withColumn(
-        "ring", F.transform("ring", lambda v: F.struct(v["lng"].alias("lng"), v["lat"].alias("lat")))
-    )
+    rows = with_ring_numbers(df.select(*keys, geo), geo).select(*keys, ring_points()("numbers").alias("r"))
+    rows = rows.where("r is not null").groupBy(*keys).agg(F.collect_list("r").alias("rs"))
+    placed = F.flatten(F.transform("rs", lambda r: F.transform(r, lambda v, i: F.struct(i.alias("pos"), v["lng"].alias("lng"), v["lat"].alias("lat")))))
+    merged = F.transform(F.array_sort(placed), lambda v: F.struct(v["lng"].alias("lng"), v["lat"].alias("lat")))
+    ring = F.when(F.size("rs") > 1, merged).otherwise(F.get("rs", F.lit(0)))
+    rows = rows.select(*keys, ring.alias("ring"))
+    whole = ~F.exists("ring", lambda v: F.isnan(v["lat"]))  # a vertex off every Mercator band spoils the ring
+    return rows.select(*keys, F.when(whole, F.col("ring")).alias("ring"))
 
 
 def ring_to_wkt(ring: Column) -> Column:

@@ -129,6 +129,31 @@ def measure(
     return {name: np.where(whole, v, np.nan) for name, v in zip(MEASURES, columns)}
 
 
+def ring_points() -> Callable:
+    """Column function (numbers) -> the ring's vertices in wgs84 degrees, NaN off the bands; null without a ring.
+
+    Nondeterministic like ``ring_measures``, for the same reason.
+    """
+    kind = pa.struct([("lng", pa.float64()), ("lat", pa.float64())])
+
+    @F.arrow_udf("array<struct<lng: double, lat: double>>")
+    def run(numbers: pa.Array) -> pa.Array:
+        there = np.asarray(numbers.is_valid())
+        rings = numbers.filter(pa.array(there))
+        if not len(rings):
+            return pa.nulls(len(numbers), pa.list_(kind))
+        offsets = np.asarray(rings.offsets).astype(np.int64)
+        values = np.asarray(rings.values)[offsets[0] : offsets[-1]]
+        points = gcj02_to_wgs84(*bd09_to_gcj02(*mercator_to_bd09(values[0::2], values[1::2])))
+        sizes = np.zeros(len(numbers), np.int32)
+        sizes[there] = np.diff(offsets) // 2
+        starts = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        vertices = pa.StructArray.from_arrays([pa.array(p) for p in points], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(starts), vertices, mask=pa.array(~there))
+
+    return run.asNondeterministic()
+
+
 def ring_measures(zone: int, with_distance: bool = True) -> Callable:
     """Column function (numbers, e, n) -> struct of ``MEASURES``; null without a ring or off the bands.
 
