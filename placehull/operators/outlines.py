@@ -13,7 +13,7 @@ from placehull.functions.coords import (
     num,
     run_steps,
 )
-from placehull.functions.rings import with_ring_numbers
+from placehull.functions.rings import is_multi_part, with_ring_numbers
 from placehull.functions.utm import to_utm
 from placehull.operators.ringkernel import MEASURES, ring_measures
 from placehull.options import MatchOptions
@@ -45,6 +45,25 @@ def attach_boundaries(accepted: DataFrame, boundaries: DataFrame) -> DataFrame:
     return joined.withColumn("called", F.coalesce("called", F.lit(False)))
 
 
+def attach_answers(accepted: DataFrame, decoded: DataFrame) -> DataFrame:
+    """``attach_boundaries`` of all decoded responses: joined first, then the least by ``response_order`` per candidate.
+
+    Only key and outline are moved, once; digests are made for candidates alone. The join leaves the rows grouped and sorted by its key,
+    which the aggregate takes over.
+    """
+    answers = decoded.select(F.struct("poi_id", "uid").alias("aoi_key"), "geo", F.lit(True).alias("__came"))
+    rows = accepted.join(answers, "aoi_key", "left").withColumn("__pick", F.struct(response_order(), "geo"))
+    fields = [c for c in accepted.columns if c != "aoi_key"]
+    least = rows.groupBy("aoi_key").agg(
+        *[F.first(c).alias(c) for c in fields], F.min("__pick").alias("__least"), F.bool_or("__came").alias("called")
+    )
+    geo = F.col("__least.geo")
+    return least.select(
+        "aoi_key", *fields, geo.alias("geo"), F.when(F.col("called"), is_multi_part(geo)).alias("multi_part"),
+        F.coalesce("called", F.lit(False)).alias("called"),
+    )
+
+
 def measure_rings(
     df: DataFrame, key: str, carry: list[str], origin: tuple[str, str], zone: int, with_distance: bool = True
 ) -> DataFrame:

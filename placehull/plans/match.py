@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placehull.functions.rings import rings_wgs84
 from placehull.operators.candidates import accept, judge_candidates
 from placehull.operators.ordered import HOT_ROWS
-from placehull.operators.outlines import aoi_metrics, attach_boundaries, boundaries_once
+from placehull.operators.outlines import aoi_metrics, attach_answers, boundaries_once
 from placehull.operators.ranking import best_per_poi, score_aois
 from placehull.operators.status import completion, poi_status, write_back
 from placehull.operators.validity import judge_aois
@@ -43,7 +43,7 @@ class MatchJob:
         self.outlines = decode_boundaries(self.boundaries)
         if self.gave_up is not None:
             self.outlines = self.outlines.unionByName(without_answer(self.gave_up))
-        self.attached = attach_boundaries(self.accepted, boundaries_once(self.outlines))
+        self.attached = attach_answers(self.accepted, self.outlines)
         self.measured = judge_aois(aoi_metrics(self.attached, self.options), self.options)
         self._aois: DataFrame | None = None
         self._winners: DataFrame | None = None
