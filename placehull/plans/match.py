@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placehull.functions.rings import rings_wgs84
 from placehull.operators.candidates import accept, judge_candidates
 from placehull.operators.ordered import HOT_ROWS
-from placehull.operators.outlines import aoi_metrics, attach_answers, boundaries_once
+from placehull.operators.outlines import aoi_metrics, attach_answers
 from placehull.operators.ranking import best_per_poi, score_aois
 from placehull.operators.status import completion, poi_status, write_back
 from placehull.operators.validity import judge_aois
@@ -19,6 +19,9 @@ from placehull.session import stage
 from placehull.sources.poi import prepare_poi, unresolved
 from placehull.sources.responses import decode_boundaries, decode_search, without_answer
 
+#: Columns that only ``valid`` is judged by; they are not staged.
+JUDGED_BY = ("p_name", "p_lng", "p_lat", "multi_part", "edges", "min_lng", "min_lat", "max_lng", "max_lat")
+
 
 @dataclass
 class MatchJob:
@@ -44,19 +47,24 @@ class MatchJob:
         if self.gave_up is not None:
             self.outlines = self.outlines.unionByName(without_answer(self.gave_up))
         self.attached = attach_answers(self.accepted, self.outlines)
-        self.measured = judge_aois(aoi_metrics(self.attached, self.options), self.options)
+        judged = judge_aois(aoi_metrics(self.attached, self.options, keep=("geo",)), self.options)
+        self.measured = judged.withColumn("geo", F.when(F.col("valid"), F.col("geo")))
         self._aois: DataFrame | None = None
         self._winners: DataFrame | None = None
 
     @property
     def aois(self) -> DataFrame:
         """Measured candidates, written once: counts, hot groups, ranks and winners read it."""
-        if self._aois is None:
-            self._aois = stage(self.measured, "aois")
+        return self._aois if self._aois is not None else self._staged(rings=False)
+
+    def _staged(self, rings: bool) -> DataFrame:
+        """Writes ``aois`` with what later steps read; with ``rings`` valid ones keep their encoded outline."""
+        rows = self.measured.drop(*JUDGED_BY, *(() if rings else ("geo",)))
+        self._aois = stage(rows, "aois")
         return self._aois
 
     def valid(self) -> DataFrame:
-        return self.aois.where("valid")
+        return self.aois.where("valid").drop("geo")
 
     def scored(self) -> DataFrame:
         return score_aois(self.valid(), self.options, self.hot_rows)
@@ -77,15 +85,17 @@ class MatchJob:
     def winners_with_rings(self) -> DataFrame:
         """Best areas with their outline, which is decoded for the winners alone.
 
-        Outlines of the winners are looked up by key again instead of being carried through
-        the ranking; the join keeps one narrow row per POI on its other side.
+        Encoded outlines of the winners are looked up among the staged valid candidates instead of being carried through
+        the ranking, and instead of moving all responses once more.
         """
-        answers = boundaries_once(self.outlines.join(self.winners.select("poi_id", "uid"), ["poi_id", "uid"]))
-        rings = rings_wgs84(answers, ["aoi_key"]).select(
-            F.col("aoi_key.poi_id").alias("poi_id"), F.col("ring").alias("geometry")
-        )
+        aois = self.aois if "geo" in self.aois.columns else self._staged(rings=True)
+        valid = aois.where("valid").select("poi_id", "uid", "geo")
+        rows = valid.join(self.winners.select("poi_id", "uid"), ["poi_id", "uid"])
+        rings = rings_wgs84(rows, ["poi_id", "uid"]).select("poi_id", F.col("ring").alias("geometry"))
         return self.winners.join(rings, "poi_id")
 
     def result(self, with_geometry: bool = True) -> DataFrame:
+        if with_geometry and self._aois is None:
+            self._staged(rings=True)
         best = self.winners_with_rings() if with_geometry else self.winners
         return write_back(self.status(), best)

@@ -1,5 +1,6 @@
 """Views made of one grouped table, answers attached after the join, rings converted whole."""
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from placehull.functions.rings import rings_wgs84, vertices_wgs84, with_ring_numbers
@@ -66,3 +67,33 @@ def test_rings_of_repeated_keys_and_no_filter_on_the_decoding(spark):
     assert [(r.lng, r.lat) for r in rows.where("k = 1").orderBy("pos").collect()] == [(v.lng, v.lat) for v in rings[1]]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "split" in line for line in plan.splitlines())
+
+
+def test_one_shuffle_of_the_answers(spark, monkeypatch, tmp_path):
+    """Outlines of the winners come from the staged candidates; a job without outlines stages none."""
+    from placehull.plans import match
+    from placehull.plans import queries as q
+
+    staged, real = {}, match.stage
+
+    def spy(df, name):
+        staged[name] = df
+        return real(df, name)
+
+    monkeypatch.setattr(match, "stage", spy)
+    rows = q.match_job(spark, SMALL).result()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and rows.where("geometry is not null").count() == rows.where("status = 'Matched'").count() > 0
+    assert "geo" in staged["aois"].columns and "min_lng" not in staged["aois"].columns
+    staged.clear()
+    q.match_job(spark, SMALL).result(with_geometry=False)
+    assert "geo" not in staged["aois"].columns
+
+
+def test_views_of_keys_are_not_stored_nor_broadcast(spark):
+    from placehull.plans import queries as q
+
+    poi = q.view(spark, SMALL, "poi").select("poi_id", "name")
+    plan = q.captured(spark, SMALL, "search_result").join(poi, "poi_id")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan.split("FileScan")[0]
+    assert all("/groups" in f for f in q.captured(spark, SMALL, "boundary_response").inputFiles())
