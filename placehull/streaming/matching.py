@@ -40,6 +40,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 SEARCH_SCHEMA = "poi_id bigint, ts timestamp, body string"
 BOUNDARY_SCHEMA = "poi_id bigint, uid string, ts timestamp, body string"
 GIVEN_UP_SCHEMA = "poi_id bigint, uid string, ts timestamp"
+STATE_SCHEMA = (
+    "results int, seen int, deadline bigint, status string, calls bigint, found array<struct<uid: string, search_rank: int, uid_name: string>>, "
+    "answers array<struct<uid: string, pick: string, valid: boolean, keys: array<double>, geo: string>>"
+)
 CHANGE_SCHEMA = (
     "poi_id bigint, answered boolean, accepted bigint, called bigint, valid bigint, status string, uid string, uid_name string, "
     "search_rank int, score double, geo string, old_status string, new_calls bigint, ts timestamp, expired boolean"
@@ -108,59 +112,70 @@ def changes(
 
 
 class PoiMatcher(StatefulProcessor):
-    """State of one POI: its search answer (value), accepted candidates and their answers (maps), and a timer."""
+    """State of one POI: one value with its search answer, accepted candidates and their answers, and a timer.
+
+    Judging a POI reads all of it anyway, so the whole state is read once and written once per micro-batch that tells of the POI.
+    """
 
     def __init__(self, wait_ms: int, first_only: bool):
         self.wait_ms, self.first_only = wait_ms, first_only
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "results int, seen int, deadline bigint, status string, calls bigint")
-        self.found = handle.getMapState("found", "uid string", "search_rank int, uid_name string")
-        self.answers = handle.getMapState("answers", "uid string", "pick string, valid boolean, keys array<double>, geo string")
+        self.state = handle.getValueState("state", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        head = self.head.get() if self.head.exists() else None
-        results, seen, deadline, status, calls = head if head else (None, 0, None, None, 0)
-        refused, last = False, None
+        before = self.state.get() if self.state.exists() else None
+        results, seen, deadline, status, calls, found, answers = self._open(before)
+        refused, changed, last = False, False, None
         for row in rows:
             last = row.ts if last is None else max(last, row.ts)
             if row.result:
                 if not row.answered:
                     refused = True
                     continue
-                results = row.n_results
+                results, changed = row.n_results, True
                 if deadline is None:
                     deadline = int(row.ts.timestamp() * 1000) + self.wait_ms
                     self.handle.registerTimer(deadline)
                 if row.search_rank is not None:
                     seen += 1
-                if row.accepted:
-                    known = self.found.getValue((row.uid,)) if self.found.containsKey((row.uid,)) else None
-                    if known is None or row.search_rank < known[0]:
-                        self.found.updateValue((row.uid,), (row.search_rank, row.uid_name))
-            elif row.called:
-                known = self.answers.getValue((row.uid,)) if self.answers.containsKey((row.uid,)) else None
-                if known is None or row.pick < known[0]:
-                    self.answers.updateValue((row.uid,), (row.pick, row.valid, row.keys, row.geo))
+                if row.accepted and (row.uid not in found or row.search_rank < found[row.uid][0]):
+                    found[row.uid] = (row.search_rank, row.uid_name)
+            elif row.called and (row.uid not in answers or row.pick < answers[row.uid][0]):
+                answers[row.uid] = (row.pick, row.valid, row.keys, row.geo)
+                changed = True
         if results is None:
+            if changed:  # answers to a search whose own answer is on its way
+                self.state.update(self._packed(results, seen, deadline, status, calls, found, answers))
             if refused:  # a better answer may come; nothing to remember
                 yield self._row(key[0], last, answered=False)
             return
-        if seen < results:  # the rest of the search answer is on its way
-            self.head.update((results, seen, deadline, status, calls))
-            return
-        now = self._judge()
-        yield self._row(key[0], last, answered=True, old_status=status, new_calls=now["called"] - calls, **now)
-        self.head.update((results, seen, deadline, now["status"], now["called"]))
-
-    def _judge(self) -> dict:
+        now = None
+        if seen >= results:  # else the rest of the search answer is on its way
+            now = self._judge(found, answers)
+            yield self._row(key[0], last, answered=True, old_status=status, new_calls=now["called"] - calls, **now)
+        now = now or {"status": status, "called": calls}
+        if changed or (status, calls) != (now["status"], now["called"]):
+            self.state.update(self._packed(results, seen, deadline, now["status"], now["called"], found, answers))
+
+    @staticmethod
+    def _open(state: Row | None) -> tuple:
+        if state is None:
+            return None, 0, None, None, 0, {}, {}
+        *head, found, answers = state
+        return *head, {uid: (rank, name) for uid, rank, name in found}, {uid: tuple(a) for uid, *a in answers}
+
+    @staticmethod
+    def _packed(results, seen, deadline, status, calls, found: dict, answers: dict) -> tuple:
+        return results, seen, deadline, status, calls, [(uid, *v) for uid, v in found.items()], [(uid, *v) for uid, v in answers.items()]
+
+    def _judge(self, found: dict, answers: dict) -> dict:
         """Counts, status and best area of what has come in so far."""
-        found = {uid[0]: tuple(v) for uid, v in self.found.iterator()}
         if self.first_only and found:
             first = min(found, key=lambda u: (found[u][0], u))
             found = {first: found[first]}
-        answers = {uid[0]: tuple(v) for uid, v in self.answers.iterator() if uid[0] in found}
+        answers = {uid: a for uid, a in answers.items() if uid in found}
         valid = {u: a for u, a in answers.items() if a[1]}
         out = {"accepted": len(found), "called": len(answers), "valid": len(valid), "status": None}
         if not found:
@@ -187,12 +202,11 @@ class PoiMatcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The POI leaves the state; a row tells of it if it is not finished."""
-        results, seen, deadline, status, calls = self.head.get()
+        results, seen, deadline, status, _, found, answers = self._open(self.state.get())
         if status is None:
-            now = self._judge() if seen >= results else {}
+            now = self._judge(found, answers) if seen >= results else {}
             yield self._row(key[0], datetime.fromtimestamp(deadline / 1000), answered=True, expired=True, **now)
-        for state in (self.head, self.found, self.answers):
-            state.clear()
+        self.state.clear()
 
     def close(self) -> None:
         pass

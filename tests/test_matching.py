@@ -1,9 +1,11 @@
 """The matching job as a stream: order, repeats, replays, time limit, saved pairs and running figures."""
 
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from placehull.functions.rings import wkt_to_ring
@@ -147,3 +149,43 @@ def test_plan_keeps_state_and_joins_in_time(spark, inputs, tmp_path):
     sources = [matching.read_stream(spark, f"{tmp_path}/{k}", s) for k, s in enumerate(schemas)]
     plan = matching.changes(inputs[0], sources[0], sources[1], q.NO_NAMES, sources[2])._jdf.queryExecution().analyzed().toString()
     assert "LeftOuter" in plan and "TransformWithState" in plan and "Aggregate" not in plan
+
+
+def test_state_of_a_poi_is_read_and_written_once_per_batch():
+    """Not once per event: a POI with many candidates costs one read and one write of the store."""
+    calls = []
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            calls.append("get")
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    matcher = matching.PoiMatcher(1000, False)
+    matcher.init(Handle())
+    ts = datetime(2024, 1, 1)
+    fields = {"ts": ts, "answered": True, "n_results": 30, "valid": None, "pick": None, "keys": None, "geo": None, "called": None, "accepted": True}
+    results = [Row(result=True, uid=f"u{i}", uid_name="n", search_rank=i + 1, **fields) for i in range(30)]
+    answers = [Row(**{**fields, "result": False, "uid": f"u{i}", "called": True, "valid": i == 7, "pick": "a", "keys": [1.0], "geo": "g"}) for i in range(30)]
+    first = list(matcher.handleInputRows((1,), iter(results), None))
+    assert [(r.status, r.accepted, r.called) for r in first] == [(None, 30, 0)] and calls == ["timer", "update"]
+    calls.clear()
+    rows = list(matcher.handleInputRows((1,), iter(answers), None))
+    assert [(r.status, r.uid, r.called, r.new_calls, r.geo) for r in rows] == [("Matched", "u7", 30, 30, "g")] and calls == ["get", "update"]
