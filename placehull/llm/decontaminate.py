@@ -8,9 +8,9 @@ Candidates are then checked on the words: the longest common subsequence must co
 ``LIKELY`` of it with the answer word for word. The answer is the column ``answer`` of the benchmark if there is one,
 else the last four words of the passage.
 
-Document frequencies cover all documents. Benchmark passages (128 words at most, longer items are several) are matched in
-blocks of ``BLOCK``, each with a space of its own, fitted on the block and about ``SAMPLE`` document passages
-chosen by hash. Every document is searched whole. What a task holds is of fixed size: 2**15 features times 128
+Document frequencies cover all documents, and the space is fitted on all passages of all documents and of the whole benchmark; the two sides weigh
+the same. Texts are read once for it and written as hashed words (16 bits each). Benchmark passages (128 words at most, longer items are several)
+are matched in blocks of ``BLOCK``. Every document is searched whole. What a task holds is of fixed size: 2**15 features times 128
 dimensions, and one block. No document text is shuffled. A text is searched in pieces of ``CHUNK`` words that overlap.
 An item of fewer than ``LEAST`` words is too short to tell a leak from common speech: it hits a text that consists of its words alone.
 
@@ -25,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placehull.llm.base import table
-from placehull.llm.words import Hashes, hashes_of, words_of
+from placehull.llm.words import digests, words_of
 from placehull.session import stage
 
 FEATURES, DIMS, SPARE = 1 << 15, 128, 8
 STEP, LONGEST = 16, 128  # words of a step; of a benchmark passage
-SAMPLE = BLOCK = 256
+BLOCK = 256
+TOGETHER = 16  # passages of one product in the fit
+TASK_WORDS = 1 << 24  # words of a task of the fit
 NEAR = 0.5
 LEAST = 8  # words of an item that is searched for inside texts
 SURE, LIKELY = 0.8, 0.6
@@ -70,56 +71,102 @@ def emit(array: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "data"])
 
 
-def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per hashed word, and documents, over the whole table (text binary)."""
+def passages(texts: DataFrame) -> DataFrame:
+    """All passages of all texts (binary) as hashed words, written once, and the parts of the documents' counts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Hashes(), np.zeros(FEATURES + PART, np.int64)
+    Rows (part, data, lengths): with lengths a run of passages, their features in data (16 bits each); without, a part of the
+    sum of documents per hashed word and, at place FEATURES, of documents with words.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FEATURES + PART, np.int64)
+
+        def run(docs: list[np.ndarray]) -> pa.RecordBatch:
+            f = np.concatenate(docs)
+            pairs = np.sort(np.repeat(np.arange(len(docs)) * FEATURES, [len(d) for d in docs]).astype(np.int32) + f.astype(np.int32))
+            seen[:FEATURES] += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % FEATURES, minlength=FEATURES)
+            seen[FEATURES] += len(docs)
+            lengths = np.concatenate([np.diff(cuts_of(len(d))) for d in docs])
+            columns = [pa.array([-1], pa.int32()), pa.array([f.astype("<u2").tobytes()], pa.binary()), pa.array([lengths], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "data", "lengths"])
+
+        docs, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                if words:
-                    seen[np.unique(features(hashes_of(words, known)))] += 1
-                    seen[FEATURES] += 1
-        yield emit(seen)
+                f = features(digests(text.as_py()))
+                if len(f):
+                    docs.append(f)
+                    size += len(f)
+                if size >= CHUNK:
+                    yield run(docs)
+                    docs, size = [], 0
+        if docs:
+            yield run(docs)
+        if seen[FEATURES]:
+            counts = emit(seen)
+            yield counts.append_column("lengths", pa.nulls(counts.num_rows, pa.list_(pa.int32())))
+
+    return stage(texts.mapInArrow(read, "part int, data binary, lengths array<int>"), "passages")
 
-    out = summed(texts.mapInArrow(count, "part int, data binary"), "int64")
+
+def document_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents per hashed word, and documents, of the texts that ``passages`` read."""
+    out = summed(rows.where("lengths is null").select("part", "data"), "int64")
     return (out[:FEATURES], int(out[FEATURES])) if len(out) else (np.zeros(FEATURES, np.int64), 0)
 
 
-def passages_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Pieces of at most LONGEST words, of nearly equal length, with their starts."""
-    n = -(-len(h) // LONGEST)
-    cuts = [len(h) * i // n for i in range(n + 1)] if n else []
-    return [(a, h[a:b]) for a, b in zip(cuts, cuts[1:])]
+def cuts_of(n: int) -> np.ndarray:
+    """Where a text of ``n`` words is cut into passages of at most LONGEST words, of nearly equal length."""
+    parts = -(-n // LONGEST)
+    return np.arange(parts + 1) * n // max(parts, 1)
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """The passages of ``rows`` with the weight that makes them one together.
+
+    A task sends a matrix of fixed size, so it gets up to ``TASK_WORDS`` words.
+    """
+    rows = rows.where("lengths is not null").select("data", "lengths")
+    n, size = rows.agg(F.sum(F.size("lengths")), F.sum(F.length("data"))).first()
+    tasks = -(-(size or 0) // (2 * TASK_WORDS))
+    return rows.withColumn("weight", F.lit(1.0 / (n or 1))).coalesce(max(1, tasks))
 
 
-def latent_space(sample: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Features times DIMS: weighted leading right singular vectors of the passages of ``sample`` (text binary)."""
-    spark = sample.sparkSession
+def latent_space(sides: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """Features times DIMS: weighted leading right singular vectors of all passages of ``sides`` (data, lengths, weight)."""
+    spark = sides.sparkSession
     width = DIMS + SPARE
-    basis = np.random.Generator(np.random.PCG64(6)).standard_normal((FEATURES, width)).astype(np.float32)
+    basis = np.random.Generator(np.random.PCG64(6)).standard_normal((FEATURES, width), np.float32)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((basis, idf))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, idf = sent.value
-            known, total = Hashes(), np.zeros((FEATURES, width), np.float32)
+            total, seen, place = np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, bool), np.zeros(FEATURES, np.int64)
             for batch in batches:
-                for text in batch.column(0):
-                    for _, piece in passages_of(hashes_of(words_of(text.as_py()), known)):
-                        f, times = np.unique(features(piece), return_counts=True)
-                        x = (times * idf[f]).astype(np.float32)
-                        x /= max(np.linalg.norm(x), 1e-9)
-                        total[f] += x[:, None] * (x @ basis[f])[None, :]
+                for data, lengths, weight in zip(*(batch.column(c) for c in ("data", "lengths", "weight"))):
+                    f, lengths, weight = np.frombuffer(data.as_py(), "<u2"), lengths.values.to_numpy(), np.float32(weight.as_py())
+                    ends = np.append(0, np.cumsum(lengths))
+                    for i in range(0, len(lengths), TOGETHER):
+                        n = len(lengths[i : i + TOGETHER])
+                        some = f[ends[i] : ends[i + n]]
+                        # a dense matrix of a few passages by the features that occur in them
+                        seen[some] = True
+                        used = np.flatnonzero(seen)
+                        seen[used] = False
+                        place[used] = np.arange(len(used))
+                        at = np.repeat(np.arange(n) * len(used), lengths[i : i + n]) + place[some]
+                        x = np.bincount(at, minlength=n * len(used)).reshape(n, -1).astype(np.float32) * idf[used]
+                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                        total[used] += x.T @ (x @ basis[used] * weight)
             yield emit(total)
 
-        image = summed(sample.mapInArrow(apply, "part int, data binary"), "float32")
+        image = summed(sides.mapInArrow(apply, "part int, data binary"), "float32")
         sent.destroy()
         image = image.reshape(-1, width) if len(image) else np.zeros((FEATURES, width), np.float32)
         # Orthonormal columns, leading first, by the small Gram matrix: no second matrix of full height in double precision.
         power, turn = np.linalg.eigh((image.T @ image).astype(np.float64))
-        scale = turn[:, ::-1] / np.sqrt(np.maximum(power[::-1], 1e-12))
+        scale = turn[:, ::-1] / np.sqrt(np.maximum(power[::-1], 1e-12 * max(power[-1], 1e-12)))
         basis = image @ scale.astype(np.float32)
     return (basis[:, :DIMS] * idf[:, None]).astype(np.float32)
 
@@ -231,12 +278,9 @@ class Search:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``hits``: array of (item_id, share, cosine, position) of benchmark passages found in the text."""
-    counts, n = document_counts(docs.select(F.col("text").cast("binary").alias("text")))
+    read = passages(docs.select(F.col("text").cast("binary").alias("text")))
+    counts, n = document_counts(read)
     idf = np.log((n + 1) / (counts + 1)).astype(np.float32)
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
-    start = F.pmod(F.xxhash64(F.lit(3), "text"), F.greatest(F.length("text") - 512, F.lit(1)))
-    some = docs.filter(part).select("text", (start + 1).cast("int").alias("at"))
-    some = stage(some.select(F.substring("text", F.col("at"), F.lit(512)).cast("binary").alias("text")), "sample")
     answered = "answer" in benchmark.columns
     rows = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"),
@@ -244,17 +288,17 @@ def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.col("answer").cast("binary") if answered else F.lit(None).cast("binary")).alias("answer"),
     )
     out = docs.drop("hits").withColumn("hits", F.array().cast(f"array<{HIT}>"))
+    space = None
     for block in _blocks(rows):
-        passages = [(bytearray(text),) for _, text, _ in block]
-        fit = docs.sparkSession.createDataFrame(passages, "text binary").unionByName(some).repartition(4)
-        space = latent_space(fit, idf)
+        if space is None:
+            space = latent_space(weighted(read).unionByName(weighted(passages(rows.select("text")))), idf)
         items = [(item, _ints(text), answer or _ints(text)[-4:]) for item, text, answer in block]
         out = _annotate(out, space, items)
     return out
 
 
-def _ints(text: bytes) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(w) for w in words_of(text)]
+def _ints(text: bytes | None) -> list[int]:
+    return digests(text).tolist()
 
 
 def _blocks(rows: DataFrame) -> Iterator[list[tuple[int, bytes, list[int]]]]:
@@ -262,9 +306,9 @@ def _blocks(rows: DataFrame) -> Iterator[list[tuple[int, bytes, list[int]]]]:
     block = []
     for r in rows.toLocalIterator():
         words, answer = words_of(r.text), _ints(r.answer)
-        n = -(-len(words) // LONGEST)
-        for i in range(n):
-            block.append((r.item_id, b" ".join(words[len(words) * i // n : len(words) * (i + 1) // n]), answer))
+        cuts = cuts_of(len(words)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            block.append((r.item_id, b" ".join(words[a:b]), answer))
             if len(block) == BLOCK:
                 yield block
                 block = []
@@ -277,11 +321,11 @@ def _annotate(docs: DataFrame, space: np.ndarray, items: list) -> DataFrame:
     names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, known = Search(*sent.value), Hashes()
+        search = Search(*sent.value)
         for batch in batches:
             hits, waiting, size = [], [], 0
             for text in batch.column(batch.num_columns - 1):
-                waiting.append(hashes_of(words_of(text.as_py()), known))
+                waiting.append(digests(text.as_py()))
                 size += len(waiting[-1])
                 if size >= CHUNK:
                     hits += search.look(waiting)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,11 +10,12 @@ import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc
+from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc, words
 from placehull.llm.graph import components
 from placehull.llm.queries import ORACLES, QUERIES
 
@@ -133,6 +135,49 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_digests_tell_words_apart():
+    """Equal digests are equal words, in any place of a text, short or longer than a piece."""
+    dice = random.Random(3)
+    huge = b"x" * (2 * words.PIECE + 7)
+    kinds = [bytes(dice.choice(b"abAB\xc3\xa4\x00.") for _ in range(dice.randrange(1, 14))) for _ in range(3000)]
+    kinds += [huge, huge + b"y", b"y" + huge, b"w" * words.PIECE, b"w" * (words.PIECE - 1)]
+    text = b"".join(dice.choice(kinds) + dice.choice([b" ", b"\t\n", b"\x0b\x0c", b"\r "]) for _ in range(40_000))
+    for t in (text, b" " + huge, huge.upper() + b"\n" + huge, b" " * 3 * words.PIECE + b"a", b"", b" \t\n\x0b\f\r", None):
+        got, want = words.digests(t).tolist(), words.words_of(t)
+        assert len(got) == len(want)
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_latent_space_is_fitted_on_all_passages(spark):
+    """The space is that of a dense product over every passage of every document, and half of the benchmark's weight."""
+    d, dice = decontaminate, random.Random(8)
+    texts = [" ".join(f"t{i % 7}w{int(dice.paretovariate(0.7)) % 400}" for _ in range(dice.choice([5, 120, 300]))) for i in range(900)]
+    items = [" ".join(f"b{i % 3}w{dice.randrange(50)}" for _ in range(40)) for i in range(30)]
+    frame = lambda rows: spark.createDataFrame([(bytearray(t.encode()),) for t in rows], "text binary")
+    read = d.passages(frame([*texts, ""]).repartition(5))
+    counts, n = d.document_counts(read)
+    hashed = [d.features(d.digests(t.encode())) for t in texts]
+    assert n == 900
+    assert (counts == sum(np.bincount(np.unique(h), minlength=d.FEATURES) for h in hashed)).all()
+    idf = np.log((n + 1) / (counts + 1))
+    rows = []
+    for side in (hashed, [d.features(d.digests(t.encode())) for t in items]):
+        parts = [h[a:b] for h in side for a, b in itertools.pairwise(d.cuts_of(len(h)).tolist())]
+        assert sum(map(len, parts)) == sum(map(len, side))
+        assert max(map(len, parts)) <= d.LONGEST
+        for f in parts:
+            x = np.bincount(f, minlength=d.FEATURES) * idf
+            rows.append(x / max(np.linalg.norm(x), 1e-9) / math.sqrt(len(parts)))
+    rows = np.stack(rows)
+    basis = np.random.Generator(np.random.PCG64(6)).standard_normal((d.FEATURES, d.DIMS + d.SPARE), np.float32)
+    for _ in range(2):
+        basis, _, _ = np.linalg.svd(rows.T @ (rows @ basis), full_matrices=False)
+    got = d.latent_space(d.weighted(read).unionByName(d.weighted(d.passages(frame(items)))), idf.astype(np.float32))
+    seen = rows @ (basis[:, :8] * 1.0)
+    mine = rows @ np.divide(got[:, :8], idf[:, None], where=idf[:, None] != 0, out=np.zeros((d.FEATURES, 8)))
+    assert np.abs(np.abs(seen) - np.abs(mine)).max() < 1e-3 * np.abs(seen).max()
+
+
 def test_decontamination(spark):
     leak = "the quick brown fox jumps over the lazy dog while seven wizards brew purple potions under green moons"
     loose = leak.replace("quick", "swift").replace("purple", "violet")
