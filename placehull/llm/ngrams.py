@@ -12,7 +12,7 @@ training counts, and gets one code per n-gram back. So neither the model nor the
 distinct n-grams of the blocks. Words with more than 1/(4 * shards) of all training tokens (at most 4 * shards of them, known from
 the unigrams) are spread over all shards by successor as contexts, with their totals sent along.
 
-``ORDER`` is 2 in the query: a third order works but would need more than four times the input in shuffle files.
+The query scores every text by orders up to ``ORDER`` from one trie: ``score`` by one word before each token, ``score_3`` by two.
 Nulls and ties: a null text counts as empty and has the end token alone; a null doc_id is training data; equal rows get equal scores. An empty
 table returns an empty one. Codes are off by 0.016 in log10 at most.
 """
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placehull.llm.base import table
-from placehull.llm.words import Hashes, hashes_of, mix, words_of
+from placehull.llm.words import digests, mix
 from placehull.session import stage
 
-ORDER = 2
+ORDER = 3
 BLOCK_BYTES = 12_000_000
 POWER = 0.75
 LEVELS, RANGE = 254, 8.0  # codes 0..254 for log10 from 0 to -8; 255: absent
@@ -156,11 +156,11 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 class Block:
     """Tokens of a block, and its distinct n-grams per shard in an order that is the same whenever they are made."""
 
-    def __init__(self, held: list[bool], texts: bytes, known: Hashes):
+    def __init__(self, held: list[bool], texts: bytes):
         lengths, data = unpack(texts, "i8", "u1")
         data, at, parts, counts = data.tobytes(), 0, [], []
         for n in lengths:
-            h = hashes_of(words_of(data[at : at + n]), known)
+            h = digests(data[at : at + n])
             parts += [h, np.array([END])]
             counts.append(len(h) + 1)
             at += n
@@ -207,10 +207,9 @@ def _sent(order: int, shards: int, hot: np.ndarray):
     """Rows (shard, block, data): a block's distinct n-grams for one shard."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
             for block, held, texts in zip(batch.column("block"), batch.column("held"), batch.column("texts")):
-                b = Block(held.as_py(), texts.as_py(), known)
+                b = Block(held.as_py(), texts.as_py())
                 if order == 1:
                     words, inverse = np.unique(b.tokens, return_inverse=True)
                     counts = np.bincount(inverse, weights=b.train, minlength=len(words)).astype(np.uint32)
@@ -305,7 +304,10 @@ def _build(hot: np.ndarray, totals: np.ndarray):
 
 
 def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text, held_out)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, scores) per row of ``docs`` (doc_id, text, held_out).
+
+    ``score`` is by ``order``; ``scores`` has one for each order from 2 on.
+    """
     spark = docs.sparkSession
     blocks = blocks_of(docs)
     shards = max(4, blocks.count())
@@ -331,7 +333,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held = left["ids"][0].as_py(), left["held"][0].as_py()
-        block = Block(held, left["texts"][0].as_py(), Hashes())
+        block = Block(held, left["texts"][0].as_py())
         data = sorted(zip(right["level"].to_pylist(), right["shard"].to_pylist(), right["data"].to_pylist()), key=lambda x: x[:2])
         words, inverse = np.unique(block.tokens, return_inverse=True)
         by = np.argsort((mix(words) % np.uint64(shards)).astype(np.int64), kind="stable")
@@ -340,30 +342,33 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         counts = counts[inverse]
         p = (counts + 1) / (tokens + kinds + 1)
         base = np.log10(p)
+        add = lambda x: np.add.reduceat(x, block.starts)
+        scores = []
         for n in range(2, order + 1):
             at, place, c, _, _, shard = block.ngrams(n, shards, known.value if n == 2 else none)
             answered = [unpack(d, "u1", "u1") for level, _, d in data if level == n]
-            if not answered:
-                continue
-            own, rest = np.concatenate([a for a, _ in answered]), np.concatenate([b for _, b in answered])
-            breaks = np.append(True, (c[1:] != c[:-1]) | (shard[1:] != shard[:-1]))
-            rest = rest[np.cumsum(breaks) - 1]
-            share = np.where(rest == ABSENT, 1.0, VALUES[rest])  # a context never seen leaves all to the order below
-            p[at] = VALUES[own][place] + share[place] * p[at]
-        add = lambda x: np.add.reduceat(x, block.starts)
+            if answered:
+                own, rest = np.concatenate([a for a, _ in answered]), np.concatenate([b for _, b in answered])
+                breaks = np.append(True, (c[1:] != c[:-1]) | (shard[1:] != shard[:-1]))
+                rest = rest[np.cumsum(breaks) - 1]
+                share = np.where(rest == ABSENT, 1.0, VALUES[rest])  # a context never seen leaves all to the order below
+                p[at] = VALUES[own][place] + share[place] * p[at]
+            scores.append(add(np.log10(p)))
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": block.counts.astype(np.int64),
                 "n_known": add((counts > 0).astype(np.int64)), "train_tokens": np.full(len(ids), tokens, np.int64),
                 "base_score": add(base), "score": add(np.log10(p)),
+                "scores": pa.array(np.reshape(scores, (-1, len(ids))).T.tolist(), pa.list_(pa.float64())),
             }
         )
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, scores array<double>"
     return blocks.groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(finish, out)
 
 
 def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return score_texts(docs.select("doc_id", "text", held.alias("held_out")))
+    scored = score_texts(docs.select("doc_id", "text", held.alias("held_out")))
+    return scored.withColumns({"score": F.get("scores", F.lit(0)), "score_3": F.get("scores", F.lit(1))}).drop("scores")

@@ -254,6 +254,29 @@ def test_ngram_scores_equal_brute_force(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.016 * len(ws))
 
 
+def test_third_order_scores_equal_brute_force(spark):
+    docs = duckdb.sql(f"select doc_id, text from read_parquet('{SMALL}/documents.parquet')").fetchall()
+    tokens = {d: [*WORDS.findall((t or "").encode().lower()), b"\n</text>"] for d, t in docs}
+    grams = [collections.Counter() for _ in range(3)]
+    starts = [collections.Counter() for _ in range(3)]
+    for d, ws in tokens.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            for n in range(3):
+                grams[n].update(tuple(ws[i : i + n + 1]) for i in range(len(ws) - n))
+                starts[n].update(tuple(ws[i : i + n]) for i in range(len(ws) - n))
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    for r in QUERIES["op2_ngram_scores"](spark, SMALL).collect():
+        ws, score = tokens[r.doc_id], 0.0
+        for i, w in enumerate(ws):
+            p = (grams[0][(w,)] + 1) / (total + kinds + 1)
+            for n in (1, 2):
+                context = tuple(ws[i - n : i])
+                if i >= n and (c := starts[n][context]):
+                    p = (grams[n][(*context, w)] + c**ngrams.POWER * p) / (c + c**ngrams.POWER)
+            score += math.log10(p)
+        assert r.score_3 == pytest.approx(score, abs=0.032 * len(ws))
+
+
 def test_ngram_odd_rows_and_third_order(spark):
     docs = odd_documents(spark).selectExpr("doc_id", "text", "doc_id = 4 as held_out")
     two, three = (ngrams.score_texts(docs, n).collect() for n in (2, 3))
