@@ -7,7 +7,7 @@ its context and m = C ** 0.75. The probability is interpolated: own part + conte
 below stands the add-one unigram probability. Contexts, pointers and (context index, successor) pairs rise, so each is
 kept as an Elias-Fano sequence; a query finds its context, then its successor relative to it. Levels are memory-mapped while queried.
 
-The trie is cut into shards by context. Texts are packed into blocks of bounded size; a block sends each shard its distinct n-grams once, with
+The trie is cut into shards by context. Texts are packed, once and as numbers of their words, into blocks of bounded size; a block sends each shard its distinct n-grams once, with
 training counts, and gets one code per n-gram back. So neither the model nor the counts ever stand in one place, and what is shuffled grows with the
 distinct n-grams of the blocks. Words with more than 1/(4 * shards) of all training tokens (at most 4 * shards of them, known from
 the unigrams) are spread over all shards by successor as contexts, with their totals sent along.
@@ -109,29 +109,40 @@ class Trie:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.uint64(a.nbytes).tobytes() + a.tobytes() for a in arrays), 1)
+    """Compressed arrays; of each all first bytes stand together, then all second ones, and so on."""
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.compress(b"".join(np.uint64(len(x)).tobytes() + x for x in planes), 1)
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw, at, out = zstandard.decompress(data), 0, []
     for kind in kinds:
         n = int(np.frombuffer(raw, np.uint64, 1, at)[0])
-        out.append(np.frombuffer(raw[at + 8 : at + 8 + n], kind))
+        planes = np.frombuffer(raw, np.uint8, n, at + 8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(planes.T.copy().reshape(-1).view(kind))
         at += 8 + n
     return out
 
 
+def shard_of(digests: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of digests, so those that one shard gets lie close together and their differences are small."""
+    return (((digests >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.uint32)
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Blocks (block, ids, held, texts): documents packed to about BLOCK_BYTES, written once."""
+    """Blocks (block, ids, held, tokens): documents packed to about BLOCK_BYTES of text, as tokens, written once."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, texts, size, block = [], [], [], 0, None
+        ids, held, tokens, size, block = [], [], [], 0, None
 
         def row() -> pa.RecordBatch:
-            lengths = np.array([len(t) for t in texts], np.int64)
-            data = pack(lengths, np.frombuffer(b"".join(texts), np.uint8))
+            words, ranks, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            by = np.argsort(-times, kind="stable")  # frequent words get small numbers, whose high bytes are alike
+            number = np.empty(len(by), np.uint32)
+            number[by] = np.arange(len(by), dtype=np.uint32)
+            data = pack(np.array([len(t) for t in tokens], np.int64), words[by], number[ranks])
             columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "texts"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "tokens"])
 
         for batch in batches:
             for key, i, h, t in zip(*(batch.column(k) for k in range(4))):
@@ -139,62 +150,65 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                     block = key.as_py()
                 ids.append(i.as_py())
                 held.append(h.as_py())
-                texts.append(t.as_py() or b"")
-                size += len(texts[-1])
+                text = t.as_py() or b""
+                tokens.append(np.append(digests(text), END))
+                size += len(text)
                 if size >= BLOCK_BYTES:
                     yield row()
-                    ids, held, texts, size, block = [], [], [], 0, None
+                    ids, held, tokens, size, block = [], [], [], 0, None
         if ids:
             yield row()
 
     rows = docs.select(
         F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.coalesce(F.col("held_out"), F.lit(False)), F.col("text").cast("binary")
     )
-    return stage(rows.mapInArrow(packed, "block long, ids array<long>, held array<boolean>, texts binary"), "blocks")
+    return stage(rows.mapInArrow(packed, "block long, ids array<long>, held array<boolean>, tokens binary"), "blocks")
 
 
 class Block:
-    """Tokens of a block, and its distinct n-grams per shard in an order that is the same whenever they are made."""
-
-    def __init__(self, held: list[bool], texts: bytes):
-        lengths, data = unpack(texts, "i8", "u1")
-        data, at, parts, counts = data.tobytes(), 0, [], []
-        for n in lengths:
-            h = digests(data[at : at + n])
-            parts += [h, np.array([END])]
-            counts.append(len(h) + 1)
-            at += n
-        self.tokens = np.concatenate(parts)
-        self.counts = np.array(counts)
+    """Tokens of a block as numbers of its distinct words, and its distinct n-grams per shard in an order that is the same whenever they are made."""
+
+    def __init__(self, held: list[bool], tokens: bytes):
+        self.counts, self.words, self.tokens = unpack(tokens, "i8", "u8", "u4")
         self.starts = np.cumsum(self.counts) - self.counts
         self.train = np.repeat(~np.array(held, bool), self.counts)
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.counts)
-
-    def contexts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions with order - 1 words before them, and the digests of these words."""
-        at = np.flatnonzero(self.place >= order - 1)
-        c = np.zeros(len(at), np.uint64)
-        for k in range(1, order):
-            c = mix(c * C1 + self.tokens[at - k] * C2)
-        return at, c
-
-    def ngrams(self, order: int, shards: int, hot: np.ndarray):
-        """(positions, place of each in the distinct list, contexts, successors, training counts, shard), sorted by shard, context, successor."""
-        at, c = self.contexts(order)
-        s = self.tokens[at] & np.uint64(0xFFFFFFFF)
-        key = mix(c * C1 + s)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=self.train[at], minlength=len(first)).astype(np.uint32)
-        c, s = c[first], s[first]
-        where = c if order > 1 else mix(s)
-        if len(hot):
-            spread = np.isin(c, hot)
-            where = np.where(spread, mix(c + s * C2), where)
-        shard = (mix(where) % np.uint64(shards)).astype(np.int64)
-        order_ = np.lexsort((s, c, shard))
-        back = np.empty(len(order_), np.int64)
-        back[order_] = np.arange(len(order_))
-        return at, back[inverse], c[order_], s[order_], counts[order_], shard[order_]
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.counts)
+
+    def ngrams(self, orders: int, shards: int, hot: np.ndarray):
+        """Per order from 2 on: (positions, place of each in the distinct list, contexts, successors, training counts, shard), sorted by shard and context.
+
+        ``hot`` contexts of order 2 are spread over the shards by successor.
+        """
+        # the distinct n-gram of one order less that ends at each position, and the digests of these as contexts
+        ending, digest = self.tokens, mix(self.words * C2)
+        for order in range(2, orders + 1):
+            at = np.flatnonzero(self.place >= order - 1).astype(np.int32)
+            rank = np.empty(len(digest), np.uint32)
+            rank[np.argsort(digest)] = np.arange(len(digest), dtype=np.uint32)
+            key = rank[ending[at - 1]].astype(np.uint64)
+            key <<= np.uint64(32)
+            key |= self.tokens[at]
+            by = np.argsort(key).astype(np.int32)
+            key = key[by]
+            fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            first = at[by[fresh]]  # a position of each distinct n-gram
+            counts = np.add.reduceat(self.train[at[by]], fresh, dtype=np.uint32) if len(fresh) else np.empty(0, np.uint32)
+            c, s = digest[ending[first - 1]], self.words[self.tokens[first]] & np.uint64(0xFFFFFFFF)
+            where = c
+            if len(hot) and order == 2:
+                where = np.where(np.isin(c, hot), mix(c + s * C2), c)
+            shard = shard_of(where, shards)
+            back = np.argsort(shard, kind="stable")
+            number = np.empty(len(back), np.uint32)
+            number[back] = np.arange(len(back), dtype=np.uint32)
+            found = np.empty(len(at), np.uint32)
+            found[by] = np.repeat(np.arange(len(fresh), dtype=np.uint32), np.diff(np.append(fresh, len(by))))
+            del rank, key, by, fresh, where
+            yield at, number[found], c[back], s[back], counts[back], shard[back]
+            if order < orders:
+                digest = mix(digest[ending[first]] * C1 + self.words[self.tokens[first - order + 1]] * C2)
+                ending = np.zeros(len(self.tokens), np.uint32)
+                ending[at] = found
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,16 +222,16 @@ def _sent(order: int, shards: int, hot: np.ndarray):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, held, texts in zip(batch.column("block"), batch.column("held"), batch.column("texts")):
-                b = Block(held.as_py(), texts.as_py())
+            for block, held, tokens in zip(batch.column("block"), batch.column("held"), batch.column("tokens")):
+                b = Block(held.as_py(), tokens.as_py())
                 if order == 1:
-                    words, inverse = np.unique(b.tokens, return_inverse=True)
-                    counts = np.bincount(inverse, weights=b.train, minlength=len(words)).astype(np.uint32)
-                    shard = (mix(words) % np.uint64(shards)).astype(np.int64)
-                    by = np.argsort(shard, kind="stable")
-                    parts = [(k, pack(words[by][m], counts[by][m])) for k, m in _cuts(shard[by])]
+                    by = np.argsort(b.words)
+                    words = b.words[by]
+                    counts = np.bincount(b.tokens, weights=b.train, minlength=len(words)).astype(np.uint32)[by]
+                    parts = [(k, pack(np.diff(words[m], prepend=np.uint64(0)), counts[m])) for k, m in _cuts(shard_of(words, shards))]
                 else:
-                    _, _, c, s, counts, shard = b.ngrams(order, shards, hot)
+                    for _, _, c, s, counts, shard in b.ngrams(order, shards, hot):
+                        pass  # the last order counts
                     parts = []
                     for k, m in _cuts(shard):
                         contexts, lengths = runs(c[m])
@@ -253,6 +267,7 @@ def _count_words(keep: int):
 
     def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [(b.as_py(), unpack(d.as_py(), "u8", "u4")) for batch in batches for b, d in zip(batch.column("block"), batch.column("data"))]
+        sent = [(b, (np.cumsum(steps, dtype=np.uint64), c)) for b, (steps, c) in sent]
         words, inverse = np.unique(np.concatenate([w for _, (w, _) in sent]), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate([c for _, (_, c) in sent])).astype(np.int64)
         out = [(b, pack(sums[np.searchsorted(words, w)])) for b, (w, _) in sent]
@@ -278,7 +293,8 @@ def _build(hot: np.ndarray, totals: np.ndarray):
             ss.append(s[keep_])
             ns.append(counts[keep_])
         c, s, n = np.concatenate(cs), np.concatenate(ss), np.concatenate(ns).astype(np.int64)
-        by = np.lexsort((s, c))
+        rank = np.unique(c, return_inverse=True)[1].astype(np.uint64)
+        by = np.argsort((rank << np.uint64(32)) | s)
         c, s, n = c[by], s[by], n[by]
         fresh = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))) if len(c) else np.empty(0, np.int64)
         n = np.add.reduceat(n, fresh) if len(fresh) else n
@@ -333,19 +349,16 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held = left["ids"][0].as_py(), left["held"][0].as_py()
-        block = Block(held, left["texts"][0].as_py())
+        block = Block(held, left["tokens"][0].as_py())
         data = sorted(zip(right["level"].to_pylist(), right["shard"].to_pylist(), right["data"].to_pylist()), key=lambda x: x[:2])
-        words, inverse = np.unique(block.tokens, return_inverse=True)
-        by = np.argsort((mix(words) % np.uint64(shards)).astype(np.int64), kind="stable")
-        counts = np.empty(len(words), np.int64)
-        counts[by] = np.concatenate([unpack(d, "i8")[0] for level, _, d in data if level == 1])
-        counts = counts[inverse]
+        counts = np.empty(len(block.words), np.int64)
+        counts[np.argsort(block.words)] = np.concatenate([unpack(d, "i8")[0] for level, _, d in data if level == 1])
+        counts = counts[block.tokens]
         p = (counts + 1) / (tokens + kinds + 1)
         base = np.log10(p)
         add = lambda x: np.add.reduceat(x, block.starts)
         scores = []
-        for n in range(2, order + 1):
-            at, place, c, _, _, shard = block.ngrams(n, shards, known.value if n == 2 else none)
+        for n, (at, place, c, _, _, shard) in enumerate(block.ngrams(order, shards, known.value), 2):
             answered = [unpack(d, "u1", "u1") for level, _, d in data if level == n]
             if answered:
                 own, rest = np.concatenate([a for a, _ in answered]), np.concatenate([b for _, b in answered])

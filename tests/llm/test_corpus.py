@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import time
@@ -18,6 +19,7 @@ import corpus_pipeline
 from placehull.llm import chat, decontaminate, linededup, mixing, neardup, ngrams, quality, sitestyle, tokencount, warc, words
 from placehull.llm.graph import components
 from placehull.llm.queries import ORACLES, QUERIES
+from placehull.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -218,6 +220,21 @@ def test_rewritten_passages_are_found(spark):
         assert found + lost >= 10 and found >= 0.9 * (found + lost), (share, found, lost)
 
 
+def test_windows_are_those_of_each_text_alone():
+    """Texts searched together, of any lengths, get the hits that each gets alone, and no window reaches into the next text."""
+    d, dice = decontaminate, random.Random(2)
+    space = np.random.default_rng(5).standard_normal((d.FEATURES, d.DIMS), np.float32)
+    leak = [f"leak{i}" for i in range(60)]
+    texts = [[*(f"f{dice.randrange(10**6)}" for _ in range(n)), *leak[:m]] for n, m in ((0, 60), (5, 60), (300, 30), (0, 30), (17, 0), (64, 60), (1, 60))]
+    texts[3] = leak[30:]  # with the end of the text before it, it would be the whole passage
+    hashed = [d.digests(" ".join(t).encode()) for t in texts]
+    item = d.digests(" ".join(leak).encode()).tolist()
+    search = d.Search(space, [(9, item, item[-4:])])
+    together = search.look(hashed)
+    assert [[h["item_id"] for h in x] for x in together] == [[9], [9], [], [], [], [9], [9]]
+    assert [[(h["share"], h["position"]) for h in x] for x in together] == [[(h["share"], h["position"]) for h in search.look([x])[0]] for x in hashed]
+
+
 def test_short_items_and_long_texts(spark):
     leak = "the quick brown fox jumps over the lazy dog while seven wizards brew purple potions under green moons"
     filler = [f"n{i % 7919}" for i in range(3 * decontaminate.CHUNK)]
@@ -285,6 +302,42 @@ def test_ngram_odd_rows_and_third_order(spark):
     assert ngrams.score_texts(docs.limit(0)).count() == 0
 
 
+def test_block_ngrams_equal_brute_force():
+    """Distinct n-grams of a block with their training counts; each shard gets one range of contexts, and few bytes."""
+    dice = random.Random(4)
+    texts = [[f"w{int(dice.paretovariate(0.8)) % 5000}" for _ in range(dice.choice([0, 1, 2, 400]))] for _ in range(200)]
+    held = [n % 7 == 2 for n in range(len(texts))]
+    tokens = [np.append(words.digests(" ".join(t).encode()), ngrams.END) for t in texts]
+    kinds, ranks = np.unique(np.concatenate(tokens), return_inverse=True)
+    block = ngrams.Block(held, ngrams.pack(np.array([len(t) for t in tokens]), kinds, ranks.astype(np.uint32)))
+    for order, (at, place, c, s, counts, shard) in enumerate(block.ngrams(3, 5, np.empty(0, np.uint64)), 2):
+        want = collections.Counter()
+        for t, h in zip(tokens, held):
+            for i in range(len(t) - order + 1):
+                want[tuple(t[i : i + order].tolist())] += not h
+        whole = np.concatenate(tokens)
+        got = {tuple(whole[i - order + 1 : i + 1].tolist()): n for i, n in zip(at, counts[place].tolist())}
+        assert got == want and len(c) == len(want) == len(set(zip(c.tolist(), s.tolist())))
+        assert (np.diff(shard.astype(int)) >= 0).all() and (np.diff(c.astype(object)) >= 0).all()
+    steps = np.sort(np.random.default_rng(1).integers(0, 1 << 44, 9999, np.uint64))
+    sent = ngrams.pack(steps, np.ones(9999, np.uint32))
+    assert all((a == b).all() for a, b in zip(ngrams.unpack(sent, "u8", "u4"), (steps, np.ones(9999))))
+    assert len(sent) < 6 * 9999
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in folders for p in pathlib.Path(d.getPath()).rglob("shuffle_*")}
+
+    before, wait = files(), time.time() + 20
+    out = stage(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    while files() - before and time.time() < wait:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 100
+
+
 def test_elias_fano_round_trip():
     import numpy as np
 
