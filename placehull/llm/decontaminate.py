@@ -36,7 +36,7 @@ from placehull.session import stage
 FEATURES, DIMS, SPARE = 1 << 15, 128, 8
 STEP, LONGEST = 16, 128  # words of a step; of a benchmark passage
 BLOCK = 256
-TOGETHER = 16  # passages of one product in the fit
+TOGETHER = 8  # passages of one product in the fit
 TASK_WORDS = 1 << 24  # words of a task of the fit
 NEAR = 0.5
 LEAST = 8  # words of an item that is searched for inside texts
@@ -61,8 +61,11 @@ def summed(parts: DataFrame, dtype: str) -> np.ndarray:
                 total = x.copy() if total is None else total + x
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)])], names=["part", "data"])
 
-    rows = sorted(parts.groupBy("part").applyInArrow(add, "part int, data binary").collect())
-    return np.concatenate([np.frombuffer(zstandard.decompress(bytes(r.data)), dtype) for r in rows]) if rows else np.empty(0, dtype)
+    rows = sorted(parts.groupBy("part").applyInArrow(add, "part int, data binary").collect(), reverse=True)
+    total = bytearray()
+    while rows:  # a part is dropped as soon as it is read
+        total += zstandard.decompress(bytes(rows.pop().data))
+    return np.frombuffer(total, dtype)
 
 
 def emit(array: np.ndarray) -> pa.RecordBatch:
@@ -139,6 +142,7 @@ def latent_space(sides: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarr
     basis = np.random.Generator(np.random.PCG64(6)).standard_normal((FEATURES, width), np.float32)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((basis, idf))
+        del basis  # the driver holds one matrix at a time
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, idf = sent.value
@@ -156,9 +160,12 @@ def latent_space(sides: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarr
                         seen[used] = False
                         place[used] = np.arange(len(used))
                         at = np.repeat(np.arange(n) * len(used), lengths[i : i + n]) + place[some]
-                        x = np.bincount(at, minlength=n * len(used)).reshape(n, -1).astype(np.float32) * idf[used]
-                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        total[used] += x.T @ (x @ basis[used] * weight)
+                        x = np.bincount(at, minlength=n * len(used)).reshape(n, -1) * idf.take(used)
+                        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+                        x = x.astype(np.float32)
+                        part = x.T @ (x @ basis.take(used, 0) * weight)
+                        part += total.take(used, 0)
+                        total[used] = part
             yield emit(total)
 
         image = summed(sides.mapInArrow(apply, "part int, data binary"), "float32")
@@ -168,7 +175,10 @@ def latent_space(sides: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarr
         power, turn = np.linalg.eigh((image.T @ image).astype(np.float64))
         scale = turn[:, ::-1] / np.sqrt(np.maximum(power[::-1], 1e-12 * max(power[-1], 1e-12)))
         basis = image @ scale.astype(np.float32)
-    return (basis[:, :DIMS] * idf[:, None]).astype(np.float32)
+        del image
+    basis = basis[:, :DIMS].copy()
+    basis *= idf[:, None]
+    return basis
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -224,10 +234,11 @@ class Search:
         for h, n in zip(texts, counts.tolist()):
             rows[at : at + len(h)] = features(h)
             at += n * STEP
-        rows = rows.reshape(-1, STEP)
-        out = self.space[rows[:, 0]]
+        rows = rows.reshape(-1, STEP).T.copy()
+        out = self.space.take(rows[0], 0)
+        more = np.empty_like(out)
         for k in range(1, STEP):
-            out += self.space[rows[:, k]]
+            out += self.space.take(rows[k], 0, more, "clip")  # no index is out of bounds; "clip" fills more without a copy
         return out
 
     def look(self, texts: list[np.ndarray]) -> list[list[dict]]:
@@ -260,10 +271,13 @@ class Search:
         at, windows, reach = np.arange(len(sums)), sums.copy(), 1
         for width, mine, vectors, lengths in self.groups:
             for k in range(reach, min(width, len(sums))):
-                windows[:-k] += sums[k:] * (at[:-k] + k < ends[:-k])[:, None]
+                last = np.flatnonzero(at[:-k] + k >= ends[:-k])  # windows that end with their text
+                whole = windows[last]
+                windows[:-k] += sums[k:]
+                windows[last] = whole
             reach = max(reach, width)
             near = windows @ vectors
-            for w, i in zip(*(x.tolist() for x in np.nonzero(near >= NEAR))):
+            for w, i in zip(*(x.tolist() for x in divmod(np.flatnonzero(near >= NEAR), len(mine)))):
                 text, start, _ = pieces[piece[w]]
                 first = start + int(w - begins[w]) * STEP
                 begin = max(0, first - STEP)
