@@ -24,7 +24,7 @@ from placehull.operators.validity import box_contains, judge_aois
 from placehull.options import PRESETS, VAR, MatchOptions
 from placehull.plans.derived import from_groups, search_groups, view
 from placehull.plans.match import MatchJob
-from placehull.session import scratch_path, stage
+from placehull.session import scratch_path, stage, write_parquet
 from placehull.sources import manifests, resulttable, sinks, spatial
 from placehull.sources.poi import prepare_poi, read_poi_csv, unresolved, without_resolved
 from placehull.sources.responses import (
@@ -697,17 +697,17 @@ def captured_streams(spark: SparkSession, sf: str, folder: str) -> dict[str, Dat
     def at(minutes: Column) -> Column:
         return (start + F.make_dt_interval(mins=minutes.cast("int"))).alias("ts")
 
+    # dealt out as narrow keys; the texts are made of them after that
+    groups = captured(spark, sf, "groups").repartition(4, "poi_id")
+    search, boundary = (from_groups(groups, name) for name in ("search_response", "boundary_response"))
     tables = {
-        "searches": (captured(spark, sf, "search_response").select("poi_id", at(minute), "body"), stream.SEARCH_SCHEMA),
-        "boundaries": (
-            captured(spark, sf, "boundary_response").select("poi_id", "uid", at(minute + F.col("search_rank")), "body"),
-            stream.BOUNDARY_SCHEMA,
-        ),
-        "given_up": (_given_up(spark, sf).select("poi_id", "uid", at(minute + 60)), stream.GIVEN_UP_SCHEMA),
+        "searches": (search.select("poi_id", at(minute), "body"), stream.SEARCH_SCHEMA),
+        "boundaries": (boundary.select("poi_id", "uid", at(minute + F.col("search_rank")), "body"), stream.BOUNDARY_SCHEMA),
+        "given_up": (_given_up(spark, sf).select("poi_id", "uid", at(minute + 60)).repartition(4, "poi_id"), stream.GIVEN_UP_SCHEMA),
     }
     out = {}
     for name, (rows, schema) in tables.items():
-        rows.repartition(4, "poi_id").write.parquet(f"{folder}/{name}")
+        write_parquet(rows, f"{folder}/{name}")
         out[name] = stream.read_stream(spark, f"{folder}/{name}", schema, files_per_trigger=2)
     return out
 

@@ -2,6 +2,8 @@
 
 from dataclasses import replace
 from datetime import datetime
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from conftest import SMALL
@@ -189,3 +191,63 @@ def test_state_of_a_poi_is_read_and_written_once_per_batch():
     calls.clear()
     rows = list(matcher.handleInputRows((1,), iter(answers), None))
     assert [(r.status, r.uid, r.called, r.new_calls, r.geo) for r in rows] == [("Matched", "u7", 30, 30, "g")] and calls == ["get", "update"]
+
+
+def test_answers_are_kept_once(spark, inputs, tmp_path):
+    """One store of one operator: answers do not lie in the sides of a join as well."""
+    folder = run(spark, inputs, str(tmp_path), [inputs[1:]])
+    stores = {p.relative_to(f"{folder}/checkpoint/state").parts[0] for p in Path(f"{folder}/checkpoint/state").rglob("*.changelog")}
+    assert stores == {"0"} and not list(Path(folder).rglob("*keyWithIndex*"))
+
+
+def _matcher(wait_ms, late_ms):
+    """A matcher over a store in memory, with the list of its timers."""
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    value, timers = Value(), []
+    matcher = matching.PoiMatcher(wait_ms, False, late_ms)
+    matcher.init(SimpleNamespace(getValueState=lambda name, schema: value, registerTimer=timers.append))
+    return matcher, value, timers
+
+
+def _event(minute, result, uid, pick=None, valid=True, rank=1):
+    ts = datetime(2024, 1, 1, 10, minute)
+    return Row(ts=ts, result=result, answered=True, uid=uid, uid_name="n", search_rank=rank, accepted=result, valid=valid, keys=[1.0], called=True, pick=pick, geo=pick)
+
+
+def test_answers_count_in_time_whatever_came_first():
+    """Answers before their search, repeats, a better one too late, and a candidate that a second search names."""
+    ten = 10 * 60_000
+    matcher, value, timers = _matcher(wait_ms=2 * ten, late_ms=ten)
+    assert not list(matcher.handleInputRows((1,), iter([_event(0, False, "a", "c"), _event(40, False, "a", "a"), _event(20, False, "b", "x", False)]), None))
+    assert timers == [int(datetime(2024, 1, 1, 10, 50).timestamp() * 1000)] and value.exists()
+    first = list(matcher.handleInputRows((1,), iter([_event(10, True, "a")]), None))
+    assert [(r.status, r.called, r.valid, r.geo, r.ts.minute) for r in first] == [("Matched", 1, 1, "c", 10)]  # "a" came 30 minutes after the search
+    again = list(matcher.handleInputRows((1,), iter([_event(10, False, "a", "d"), _event(30, False, "a", "b")]), None))
+    assert [(r.status, r.called, r.new_calls, r.geo) for r in again] == [("Matched", 1, 0, "b")]
+    assert not list(matcher.handleInputRows((1,), iter([_event(30, False, "a", "b")]), None))
+    more = list(matcher.handleInputRows((1,), iter([_event(20, True, "b", rank=2), _event(20, True, "a")]), None))
+    assert [(r.status, r.accepted, r.called, r.valid, r.geo) for r in more] == [("Matched", 2, 2, 1, "a")]
+
+
+def test_answers_without_a_search_leave_the_state():
+    matcher, value, timers = _matcher(wait_ms=1000, late_ms=60_000)
+    for minute in (0, 5):
+        assert not list(matcher.handleInputRows((1,), iter([_event(minute, False, "a", f"p{minute}")]), None))
+    for at, left in zip(timers, (True, False)):
+        assert not list(matcher.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
+        assert value.exists() == left
