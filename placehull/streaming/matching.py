@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import sys
 import zlib
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import replace
 from datetime import datetime
@@ -46,6 +47,9 @@ SEARCH_SCHEMA = "poi_id bigint, ts timestamp, body string"
 BOUNDARY_SCHEMA = "poi_id bigint, uid string, ts timestamp, body string"
 GIVEN_UP_SCHEMA = "poi_id bigint, uid string, ts timestamp"
 STATE_SCHEMA = "deadline bigint, status string, calls bigint, packed binary"
+#: Fields of an event besides poi_id; those that are null are left out of its text.
+EVENT_FIELDS = ("ts", "result", "answered", "uid", "uid_name", "search_rank", "accepted", "called", "valid", "pick", "keys", "geo")
+Event = namedtuple("Event", EVENT_FIELDS, defaults=(None,) * len(EVENT_FIELDS))
 CHANGE_SCHEMA = (
     "poi_id bigint, answered boolean, accepted bigint, called bigint, valid bigint, status string, uid string, uid_name string, "
     "search_rank int, score double, geo string, old_status string, new_calls bigint, ts timestamp, expired boolean"
@@ -123,9 +127,10 @@ def changes(
     """
     judged = search_events(poi, searches.withWatermark("ts", late), options)
     events = result_events(judged, options).unionByName(answer_events(poi, boundaries, given_up, options, late), allowMissingColumns=True)
+    events = events.select("poi_id", "ts", F.to_json(F.struct(*EVENT_FIELDS[1:])).alias("event"))
     spans = [F.expr(f"cast(interval {t} as interval second)").cast("decimal(18,3)") * 1000 for t in (wait, late)]
     wait_ms, late_ms = (int(ms) for ms in poi.sparkSession.range(1).select(*spans).first())
-    return events.groupBy("poi_id").transformWithState(PoiMatcher(wait_ms, options.use_first_uid, late_ms), CHANGE_SCHEMA, "Append", "EventTime")
+    return events.groupBy("poi_id").transformWithState(EventTextMatcher(wait_ms, options.use_first_uid, late_ms), CHANGE_SCHEMA, "Append", "EventTime")
 
 
 def _micros(ts: datetime) -> int:
@@ -266,3 +271,10 @@ class PoiMatcher(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class EventTextMatcher(PoiMatcher):
+    """The matcher over events of three columns: each value of a row is converted on its own, so a text costs less than its fields."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return super().handleInputRows(key, (Event(ts=ts, **json.loads(text)) for _, ts, text in rows), timerValues)
