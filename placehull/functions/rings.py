@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placehull.operators.ringkernel import ring_points
+from placehull.session import stage
 
 MIN_RING_POINTS = 4  # a closed triangle
 
@@ -81,16 +82,37 @@ def vertices_wgs84(df: DataFrame, numbers: str = "numbers", keep: list[str] | No
 def rings_wgs84(df: DataFrame, keys: list[str], geo: str = "geo") -> DataFrame:
     """Decode ``geo`` into ``ring: array<struct<lng, lat>>``, one row per key.
 
-    Rings are converted whole, row by row; rows of one key are merged by place, as all their vertices in one order.
+    Rings are converted whole, row by row; rows of one key are merged by place, as all their vertices in one order. Only keys that
+    may come twice are grouped (``_repeated``), so that the rings of all others are not moved.
     """
-    rows = with_ring_numbers(df.select(*keys, geo), geo).select(*keys, ring_points()("numbers").alias("r"))
-    rows = rows.where("r is not null").groupBy(*keys).agg(F.collect_list("r").alias("rs"))
-    placed = F.flatten(F.transform("rs", lambda r: F.transform(r, lambda v, i: F.struct(i.alias("pos"), v["lng"].alias("lng"), v["lat"].alias("lat")))))
+    rows = df.select(*keys, geo)
+    numbers = F.col("numbers").alias("numbers")
+    again = _repeated(rows, keys)
+    if again is None:
+        single, several = rows, None
+    else:
+        marked = rows.withColumn("__key", F.xxhash64(*keys)).join(again, "__key", "left")
+        single = marked.where("__again is null")
+        several = with_ring_numbers(marked.where("__again"), geo).groupBy(*keys).agg(F.collect_list("numbers").alias("rs"))
+    whole = ring_points(whole=True)
+    out = with_ring_numbers(single, geo).select(*keys, numbers).select(*keys, F.struct(F.col("numbers").isNotNull().alias("there"), whole("numbers").alias("ring")).alias("r"))
+    # a ring off the bands is a row without a ring; the flag stands beside the conversion, so that no filter is pushed below the decoding
+    out = out.where("r.there").select(*keys, "r.ring")
+    if several is None:
+        return out
+    several = several.where(F.size("rs") > 0).select(*keys, "rs", whole(F.flatten("rs")).alias("points"))
+    places = F.flatten(F.transform("rs", lambda r: F.sequence(F.lit(0), F.floor(F.size(r) / 2).cast("int") - 1)))
+    placed = F.zip_with(places, "points", lambda pos, v: F.struct(pos.alias("pos"), v["lng"].alias("lng"), v["lat"].alias("lat")))
     merged = F.transform(F.array_sort(placed), lambda v: F.struct(v["lng"].alias("lng"), v["lat"].alias("lat")))
-    ring = F.when(F.size("rs") > 1, merged).otherwise(F.get("rs", F.lit(0)))
-    rows = rows.select(*keys, ring.alias("ring"))
-    whole = ~F.exists("ring", lambda v: F.isnan(v["lat"]))  # a vertex off every Mercator band spoils the ring
-    return rows.select(*keys, F.when(whole, F.col("ring")).alias("ring"))
+    ring = F.when(F.size("rs") > 1, merged).otherwise(F.col("points"))
+    return out.unionByName(several.select(*keys, ring.alias("ring")))
+
+
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Hashes of keys that more than one row has, with a flag ``__again`` (a few others may share a hash); None if there are none."""
+    counts = rows.groupBy(F.xxhash64(*keys).alias("__key")).agg(F.count("*").alias("n"))
+    again = stage(counts.where("n > 1").select("__key", F.lit(True).alias("__again")), "repeated_keys")
+    return None if again.isEmpty() else again
 
 
 def ring_to_wkt(ring: Column) -> Column:
@@ -99,17 +121,28 @@ def ring_to_wkt(ring: Column) -> Column:
 
 
 def wkt_to_ring(wkt: Column) -> Column:
-    """Single-ring POLYGON text to array<struct<lng, lat>>; anything else is null."""
+    """Single-ring POLYGON text to array<struct<lng, lat>>; anything else is null.
+
+    Where single spaces are the only white space, points are cut by plain text functions; a split by a pattern compiles it for each point.
+    """
     body = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*\(\(([^()]*)\)\)\s*$", 1)
-    points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
-    ring = F.transform(
-        points,
-        lambda p: F.struct(
-            F.get(p, F.lit(0)).try_cast("double").alias("lng"),
-            F.get(p, F.lit(1)).try_cast("double").alias("lat"),
-        ),
-    )
-    return F.when(F.length(body) > 0, ring)
+
+    def vertex(lng: Column, lat: Column) -> Column:
+        return F.struct(lng.try_cast("double").alias("lng"), lat.try_cast("double").alias("lat"))
+
+    def plain(point: Column) -> Column:
+        lat = F.when(point.contains(" "), F.substring_index(F.substring_index(point, " ", 2), " ", -1))
+        return vertex(F.substring_index(point, " ", 1), lat)
+
+    def spaced(parts: Column) -> Column:
+        return vertex(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+
+    def ring(text: Column) -> Column:
+        points = F.transform(F.transform(F.split(text, ","), lambda p: F.trim(p)), plain)
+        others = F.transform(F.transform(F.split(text, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+")), spaced)
+        return F.when(F.length(text) > 0, F.when(text.rlike(r"[^\S ]|  "), others).otherwise(points))
+
+    return F.get(F.transform(F.array(body), ring), F.lit(0))  # so that the body is cut out once
 
 
 def ring_to_geojson(ring: Column) -> Column:

@@ -129,9 +129,11 @@ def measure(
     return {name: np.where(whole, v, np.nan) for name, v in zip(MEASURES, columns)}
 
 
-def ring_points() -> Callable:
+def ring_points(whole: bool = False) -> Callable:
     """Column function (numbers) -> the ring's vertices in wgs84 degrees, NaN off the bands; null without a ring.
 
+    With ``whole`` a ring with a vertex off the bands is null.
+
     Nondeterministic like ``ring_measures``, for the same reason.
     """
     kind = pa.struct([("lng", pa.float64()), ("lat", pa.float64())])
@@ -149,6 +151,9 @@ def ring_points() -> Callable:
         sizes[there] = np.diff(offsets) // 2
         starts = np.append(0, np.cumsum(sizes)).astype(np.int32)
         vertices = pa.StructArray.from_arrays([pa.array(p) for p in points], fields=list(kind))
+        if whole:
+            off = np.append(0, np.cumsum(np.isnan(points[1])))
+            there = there & (off[starts[1:]] == off[starts[:-1]])
         return pa.ListArray.from_arrays(pa.array(starts), vertices, mask=pa.array(~there))
 
     return run.asNondeterministic()

@@ -295,9 +295,9 @@ def ring_wkt(spark, sf):
 def wkt_decode(spark, sf):
     texts = _rounded_rings(spark, sf).select("poi_id", "uid", ring_to_wkt(F.col("ring")).alias("wkt"))
     rings = texts.select("poi_id", "uid", wkt_to_ring(F.col("wkt")).alias("ring"))
-    return rings.select("poi_id", "uid", F.posexplode("ring").alias("pos", "v")).select(
-        "poi_id", "uid", "pos", F.col("v.lng").alias("lng"), F.col("v.lat").alias("lat")
-    )
+    # outer, and rows without a vertex dropped after it: else a filter with copies of all steps is put below them
+    rows = rings.select("poi_id", "uid", F.posexplode_outer("ring").alias("pos", "v")).where("pos is not null")
+    return rows.select("poi_id", "uid", "pos", F.col("v.lng").alias("lng"), F.col("v.lat").alias("lat"))
 
 
 @query

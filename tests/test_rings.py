@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from placehull.functions.rings import (
     is_multi_part,
     ring_to_wkt,
@@ -11,6 +12,7 @@ from placehull.functions.rings import (
     wkt_to_ring,
 )
 from placehull.operators.outlines import measure_rings
+from placehull.plans.queries import QUERIES
 
 X, Y = 12948599.0, 4837127.0
 
@@ -103,3 +105,40 @@ def test_vertex_off_every_band_spoils_the_ring(spark):
     bad = [(0, 0), (100, 0), (100, -Y - 10), (0, 100)]
     row = measured(spark, [bad])[0]
     assert row.area_km2 is None and row.distance_m is None and row.min_lng is None
+
+
+def test_wkt_texts_with_any_white_space(spark):
+    """Plain texts take the short way, others the patterns: the same numbers."""
+    ways = {
+        "POLYGON ((1 2, 3.5 -4, 1e1 2))": [(1.0, 2.0), (3.5, -4.0), (10.0, 2.0)],
+        " polygon((1 2,3 4 5, 6 ,x 7,))\n": [(1.0, 2.0), (3.0, 4.0), (6.0, None), (None, 7.0), (None, None)],
+        "POLYGON ((1  2 ,\t3\t4 9,  5))": [(1.0, 2.0), (3.0, 4.0), (5.0, None)],
+        "POLYGON (( 1 2 , 3 4 ))": [(1.0, 2.0), (3.0, 4.0)],
+        "POLYGON (( ))": [(None, None)],
+        "POLYGON (())": None,
+        "POLYGON ((1 2), (3 4))": None,
+        "none": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in ways], "wkt string").select("wkt", wkt_to_ring(F.col("wkt")).alias("ring"))
+    assert {r.wkt: r.ring and [tuple(v) for v in r.ring] for r in df.collect()} == ways
+
+
+def test_wkt_decode_reads_each_text_once(spark):
+    """No filter with a copy of all steps stands below the vertices."""
+    plan = QUERIES["wkt_decode"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
+def test_only_repeated_keys_are_moved(spark):
+    """Rings of keys that come once are converted in place; others are merged by place, null keys as well."""
+    square = "4|1,1;2,2|1-{0},4838000,{1},4838000,{1},4838300,{0},4838300,{0},4838000;".format
+    one, two, off = square(12950000, 12950300), square(12960000, 12960300), "4|0|1-1,-5,2,-5,2,-6,1,-5;"
+    rows = [("a", one), ("b", one), ("b", two), (None, two), (None, one), ("c", off), ("d", off), ("d", one), ("e", "bad"), ("f", None), ("f", one), ("g", "bad"), ("g", "bad")]
+    df = spark.createDataFrame(rows, "k string, geo string")
+    alone = {geo: rings_wgs84(df.limit(0).unionByName(spark.createDataFrame([("x", geo)], df.schema)), ["k"]).first().ring for geo in (one, two)}
+    both = [v for pair in zip(alone[one], alone[two]) for v in sorted(pair)]
+    found = [(r.k, r.ring) for r in rings_wgs84(df, ["k"]).collect()]
+    assert len(found) == 6 and dict(found) == {"a": alone[one], "b": both, None: both, "c": None, "d": None, "f": alone[one]}
+    plan = rings_wgs84(df.where("k in ('a', 'c', 'e')"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
