@@ -45,14 +45,14 @@ def attach_boundaries(accepted: DataFrame, boundaries: DataFrame) -> DataFrame:
     return joined.withColumn("called", F.coalesce("called", F.lit(False)))
 
 
-def attach_answers(accepted: DataFrame, decoded: DataFrame) -> DataFrame:
-    """``attach_boundaries`` of all decoded responses: joined first, then the least by ``response_order`` per candidate.
+def attach_answers(accepted: DataFrame, decoded: DataFrame, how: str = "left") -> DataFrame:
+    """``attach_boundaries`` of all decoded responses: joined first, then the least by ``response_order`` per candidate, which stands in ``pick``.
 
     Only key and outline are moved, once; digests are made for candidates alone. The join leaves the rows grouped and sorted by its key,
-    which the aggregate takes over.
+    which the aggregate takes over. With ``how`` "inner" candidates without an answer are left out.
     """
     answers = decoded.select(F.struct("poi_id", "uid").alias("aoi_key"), "geo", F.lit(True).alias("__came"))
-    rows = accepted.join(answers, "aoi_key", "left").withColumn("__pick", F.struct(response_order(), "geo"))
+    rows = accepted.join(answers, "aoi_key", how).withColumn("__pick", F.struct(response_order().alias("pick"), "geo"))
     fields = [c for c in accepted.columns if c != "aoi_key"]
     least = rows.groupBy("aoi_key").agg(
         *[F.first(c).alias(c) for c in fields], F.min("__pick").alias("__least"), F.bool_or("__came").alias("called")
@@ -60,7 +60,7 @@ def attach_answers(accepted: DataFrame, decoded: DataFrame) -> DataFrame:
     geo = F.col("__least.geo")
     return least.select(
         "aoi_key", *fields, geo.alias("geo"), F.when(F.col("called"), is_multi_part(geo)).alias("multi_part"),
-        F.coalesce("called", F.lit(False)).alias("called"),
+        F.coalesce("called", F.lit(False)).alias("called"), F.col("__least.pick").alias("pick"),
     )
 
 

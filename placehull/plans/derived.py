@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts of a search result's fields, from a result r with its lineitem and its POI p, and of its item in a response.
 RESULT_TEXTS = {
@@ -146,8 +147,11 @@ def _over(rows: DataFrame, text: str) -> DataFrame:
     return rows.sparkSession.sql(text, rows=rows)
 
 
-def from_groups(groups: DataFrame, name: str) -> DataFrame:
-    """The view ``name`` on search results, row by row from ``search_groups``."""
+def from_groups(groups: DataFrame, name: str, by_uid: int = 0) -> DataFrame:
+    """The view ``name`` on search results, row by row from ``search_groups``.
+
+    ``by_uid``: its results are dealt out to so many partitions by uid, as keys before their texts are made (not for search responses).
+    """
     if name == "search_response":
         # the fields of a result from the array elements p and l, then its item from these fields
         texts = {f: re.sub(r"\bl_(\w+)", r"l.l_\1", t).replace("r.search_rank", "(i + 1)") for f, t in RESULT_TEXTS.items()}
@@ -160,7 +164,10 @@ def from_groups(groups: DataFrame, name: str) -> DataFrame:
         rows = _over(rows, f"select poi_id, {merged} as items, explode(ps) as p from ROWS")
         return _over(rows, VIEWS[name].split("from poi p left join")[0].replace("p.poi_id", "s.poi_id") + " from ROWS s")
     fields = VIEWS["search_result"].split("from (select o_custkey")[0]
-    results = _over(_over(groups, RESULTS), f"{fields} from ROWS r")
+    rows = _over(groups, RESULTS)
+    if by_uid:
+        rows = rows.repartition(by_uid, F.expr(RESULT_TEXTS["uid"].replace("r.search_rank", "search_rank")))
+    results = _over(rows, f"{fields} from ROWS r")
     if name == "search_result":
         return results
     return _over(results, VIEWS[name].replace("as NTZ", f"as {NTZ['spark']}").replace("from search_result", "from ROWS"))

@@ -13,15 +13,12 @@ from placehull.operators.ordered import HOT_ROWS
 from placehull.operators.outlines import aoi_metrics, attach_answers
 from placehull.operators.ranking import best_per_poi, score_aois
 from placehull.operators.status import completion, poi_status, write_back
-from placehull.operators.validity import judge_aois
+from placehull.operators.validity import JUDGED_BY, judge_aois
 from placehull.options import MatchOptions
 from placehull.session import stage
 from placehull.sources.poi import prepare_poi, unresolved
 from placehull.sources.responses import decode_boundaries, decode_search, without_answer
 
-#: Columns that only ``valid`` is judged by; they are not staged.
-JUDGED_BY = ("p_name", "p_lng", "p_lat", "multi_part", "edges", "min_lng", "min_lat", "max_lng", "max_lat")
-
 
 @dataclass
 class MatchJob:
@@ -46,7 +43,7 @@ class MatchJob:
         self.outlines = decode_boundaries(self.boundaries)
         if self.gave_up is not None:
             self.outlines = self.outlines.unionByName(without_answer(self.gave_up))
-        self.attached = attach_answers(self.accepted, self.outlines)
+        self.attached = attach_answers(self.accepted, self.outlines).drop("pick")
         judged = judge_aois(aoi_metrics(self.attached, self.options, keep=("geo",)), self.options)
         self.measured = judged.withColumn("geo", F.when(F.col("valid"), F.col("geo")))
         self._aois: DataFrame | None = None

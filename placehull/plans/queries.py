@@ -650,10 +650,11 @@ def stream_completion(spark, sf):
 
     folder = scratch_path(spark, "stream_completion")
     source = f"{folder}/responses"
-    responses = captured(spark, sf, "boundary_response").select("poi_id", "uid", "body")
-    broken = responses.withColumn("body", F.lit('{"content":{}}'))
-    broken.repartition(2, "uid").write.parquet(source)
-    responses.repartition(4, "uid").write.mode("append").parquet(source)
+    groups = captured(spark, sf, "groups")
+    responses = from_groups(groups, "boundary_response", by_uid=4).select("poi_id", "uid", "body")
+    broken = from_groups(groups, "boundary_response", by_uid=2).select("poi_id", "uid", F.lit('{"content":{}}').alias("body"))
+    write_parquet(broken, source)
+    write_parquet(responses, source, mode="append")
     accepted = accept(_judged(spark, sf, NO_NAMES), NO_NAMES)
     arriving = stream.read_responses(spark, source, files_per_trigger=2)
     stream.measure(arriving, accepted, NO_NAMES, folder).awaitTermination()

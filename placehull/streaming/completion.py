@@ -10,7 +10,8 @@ Two queries, joined by tables on shared storage:
 
 The tables are the state: repeats, replays and any order of arrival give the same result, a
 better answer that comes late writes a new result, and a POI that stays incomplete stays open.
-The cost of a trigger includes a scan of the measured areas (narrow rows, no outlines).
+The cost of a trigger includes a scan of the measured areas (narrow rows, no outlines) and the join of its responses with the
+candidates, where the least answer of each is taken as well, so that an outline is moved once.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from placehull.operators.candidates import CANDIDATE_FIELDS
 from placehull.operators.ordered import HOT_ROWS
-from placehull.operators.outlines import aoi_metrics, boundaries_once, response_order
+from placehull.operators.outlines import aoi_metrics, attach_answers
 from placehull.operators.ranking import best_per_poi, score_aois
 from placehull.operators.status import MATCHED, NO_GEOMETRY
-from placehull.operators.validity import judge_aois
+from placehull.operators.validity import JUDGED_BY, judge_aois
 from placehull.options import MatchOptions
-from placehull.session import stage
+from placehull.session import stage, write_parquet
 from placehull.sources.responses import decode_boundaries
 
 RESPONSE_SCHEMA = "poi_id bigint, uid string, body string"
@@ -58,23 +59,22 @@ def measure(
     ``accepted`` are the accepted candidates of the batch job.
     """
     spark = responses.sparkSession
-    candidates = stage(accepted.select("aoi_key", "poi_id", *CANDIDATE_FIELDS), "accepted")
+    fields = [f for f in CANDIDATE_FIELDS if f != "p_name" or options.sort_by_similarity]
+    candidates = stage(accepted.select("aoi_key", *fields), "accepted")
     totals = stage(
-        candidates.groupBy("poi_id").agg(F.count("*").alias("accepted")), "accepted_totals"
+        candidates.groupBy("aoi_key.poi_id").agg(F.count("*").alias("accepted")), "accepted_totals"
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        arrived = boundaries_once(decode_boundaries(batch))
-        rows = judge_aois(aoi_metrics(candidates.join(arrived, "aoi_key"), options), options)
-        order = arrived.select("aoi_key.poi_id", "aoi_key.uid", response_order().alias("pick"))
-        rows = rows.join(order, ["poi_id", "uid"])
+        attached = attach_answers(candidates, decode_boundaries(batch), "inner")
+        if "p_name" not in fields:
+            attached = attached.withColumn("p_name", F.lit(None).cast("string"))
+        rows = judge_aois(aoi_metrics(attached, options, keep=("pick",)), options).drop(*JUDGED_BY)
         aois = f"{folder}/aois/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(aois)
+        write_parquet(rows, aois, mode="overwrite")
         seen = batch.sparkSession.read.schema(rows.schema).parquet(aois)
         calls = seen.select("poi_id").distinct()
-        calls.join(totals, "poi_id").write.mode("overwrite").parquet(
-            f"{folder}/calls/batch_id={batch_id}"
-        )
+        write_parquet(calls.join(totals, "poi_id"), f"{folder}/calls/batch_id={batch_id}", mode="overwrite")
 
     for name in ("aois", "calls"):  # so that the second query finds its source
         _ensure_folder(spark, f"{folder}/{name}")
@@ -116,9 +116,7 @@ def finish(
         called = aois.groupBy("poi_id").agg(F.count("*").alias("called"))
         complete = called.join(heard, "poi_id").where("called >= accepted").select("poi_id")
         complete = stage(aois.join(complete, "poi_id", "left_semi"), "complete_aois")
-        results(complete, options, hot_rows).write.mode("overwrite").parquet(
-            f"{folder}/results/batch_id={batch_id}"
-        )
+        write_parquet(results(complete, options, hot_rows), f"{folder}/results/batch_id={batch_id}", mode="overwrite")
 
     return (
         spark.readStream.schema(CALLS_SCHEMA).parquet(f"{folder}/calls")

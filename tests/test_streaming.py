@@ -4,7 +4,7 @@ from conftest import SMALL
 from placehull.operators.candidates import accept
 from placehull.operators.outlines import aoi_metrics, attach_boundaries, boundaries_once
 from placehull.operators.validity import judge_aois
-from placehull.plans.derived import view
+from placehull.plans.derived import from_groups, search_groups, view
 from placehull.plans.queries import NO_NAMES, _judged
 from placehull.session import stage
 from placehull.sources.responses import decode_boundaries
@@ -63,3 +63,28 @@ def test_stop_and_resume(spark, tmp_path):
     open_pois = {r.poi_id for r in stream.still_open(accepted, stream.read_results(spark, folder)).collect()}
     every_poi = {r.poi_id for r in accepted.select("poi_id").collect()}
     assert open_pois == every_poi - set(got)
+
+
+def test_measured_areas_are_narrow_and_of_the_least_answer(spark, tmp_path):
+    """What only the judgement reads is not written; of several answers in a batch the one by the rule of the batch job counts."""
+    accepted = accept(_judged(spark, SMALL, NO_NAMES).where("poi_id in (1, 2, 4)"), NO_NAMES)
+    responses = view(spark, SMALL, "boundary_response").where("poi_id in (1, 2, 4, 5)").select("poi_id", "uid", "body")
+    broken = responses.withColumn("body", F.lit('{"content":{}}'))
+    broken.unionByName(responses).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream.measure(stream.read_responses(spark, f"{tmp_path}/in"), accepted, NO_NAMES, f"{tmp_path}/out").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/aois")
+    assert set(got.columns) == {"poi_id", "uid", "search_rank", "uid_name", "called", "area_km2", "distance_m", "pick", "valid", "batch_id"}
+    boundaries = boundaries_once(decode_boundaries(responses))
+    want = judge_aois(aoi_metrics(attach_boundaries(accepted, boundaries), NO_NAMES), NO_NAMES).where("called")
+    fields = ("poi_id", "uid", "search_rank", "uid_name", "area_km2", "distance_m", "valid")
+    rows = {tuple(r) for r in got.select(*fields).collect()}
+    assert rows == {tuple(r) for r in want.select(*fields).collect()} and len(rows) == got.count()
+
+
+def test_responses_dealt_out_as_keys_are_the_same(spark):
+    want = view(spark, SMALL, "boundary_response")
+    got = from_groups(search_groups(spark, SMALL), "boundary_response", by_uid=3)
+    assert got.rdd.getNumPartitions() == 3 and got.columns == want.columns
+    assert not got.exceptAll(want).count() and got.count() == want.count()
+    homes = got.select("uid", F.spark_partition_id().alias("n")).groupBy("uid").agg(F.count_distinct("n").alias("n")).where("n > 1")
+    assert homes.isEmpty()
